@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of an Arrow batch that carries texts, so that a worker holds few long ones at once.
 TEXT_BATCH = 512
 _local_default: dict[str, str] = {}
@@ -53,6 +55,7 @@ def text_batches(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> Da
 
         yield from f(cut())
 
+    ship(df.sparkSession)
     return df.mapInArrow(small, schema)
 
 

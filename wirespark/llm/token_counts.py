@@ -36,7 +36,7 @@ from .tokenizer_files import default_path
 #: Code points of a chunk of the parallel scan.
 CHUNK = 128
 #: Bounds of the tables that a worker keeps.
-MAX_STATES, MAX_WORDS = 250_000, 500_000
+MAX_STATES, MAX_WORDS = 400_000, 800_000
 # Classes of code points: letters that contractions are made of have their own.
 LETTER, NUMBER, BLANK, SPACE, OTHER, QUOTE, END = range(7)
 CONTRACTION = "stmdrevl"
