@@ -1,6 +1,6 @@
 """Licence scan: Dice coefficient over word bigrams against licence notices; DataFrame and SQL functions only.
 
-A text's segments are its lines and its paragraphs (parted by empty lines). A segment is normalised: lower case, words
+A text's segments are its lines and its paragraphs (parted by empty lines); a segment counts for its best template. A segment is normalised: lower case, words
 are runs of ASCII letters and digits and of all characters beyond ASCII. Its set is that of its word bigrams (of one
 word: that word). With b and t bigrams, Dice is 2 * common / (b + t), which can reach the threshold d only if
 d / (2 - d) * t <= b <= (2 - d) / d * t: those bounds choose the templates that a segment is compared with, and most
@@ -54,7 +54,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
         r"array_distinct(concat(split(t, '\n'), split(t, '\n[ \t\r]*\n')))",
         f"filter(transform({{}}, s -> array_remove(split(lower(s), '{separators}'), '')), w -> size(w) > 0)",
         f"filter(transform({{}}, w -> IF(size(w) = 1, w, array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b))))), g -> size(g) BETWEEN {least!r}D AND {most!r}D)",
-        f"flatten(transform({{}}, g -> transform(filter({table}, t -> size(g) BETWEEN {low!r}D * size(t.grams) AND {high!r}D * size(t.grams)), t -> named_struct('license', t.id, 'dice', 2.0D * size(array_intersect(g, t.grams)) / (size(g) + size(t.grams))))))",
+        f"transform({{}}, g -> array_max(transform(filter({table}, t -> size(g) BETWEEN {low!r}D * size(t.grams) AND {high!r}D * size(t.grams)), t -> named_struct('dice', 2.0D * size(array_intersect(g, t.grams)) / (size(g) + size(t.grams)), 'license', t.id))))",
         f"filter({{}}, x -> x.dice >= {threshold!r}D)",
     ]
     expression = ""

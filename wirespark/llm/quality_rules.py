@@ -29,7 +29,7 @@ RATES = {
     "word_length": ("word_chars / n_words", 1.0, ("low", "high")),
     "symbols": ("n_symbols / n_words", 0.05, ("high",)),
     "dup_lines": ("n_dup_lines / n_words", 0.02, ("high",)),
-    "repeats": ("n_repeat_words / n_words", 0.05, ("high",)),
+    "repeats": ("n_repeat_words / n_words", 0.1, ("high",)),
 }
 
 
