@@ -269,6 +269,17 @@ def compiled(path: str) -> tuple[Splitter, Merger]:
     return Splitter(), Merger(path)
 
 
+def pretokens(splitter: Splitter, pieces: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pre-tokens of all pieces, each piece followed by an end, and where in that list the ends are."""
+    end = np.array([NO_TABLE], np.uint32)
+    codes = np.concatenate([x for p in pieces for x in (np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32), end)] or [end])
+    starts = np.flatnonzero(splitter.begins(codes)[:-1])
+    at = starts.tolist()
+    joined = "\0".join(pieces) + "\0"  # code points stand where they do in codes
+    words = [joined[a:b] for a, b in zip(at, at[1:] + [len(codes)])]
+    return words, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in pieces]) - 1 if pieces else np.zeros(0, np.int64))
+
+
 def count_texts(texts: list[str | None], path: str) -> tuple[list[int], list[int]]:
     """Bytes and tokens of each text; all of them go through one scan, each ended by NO_TABLE."""
     splitter, merger = compiled(path)
@@ -279,17 +290,10 @@ def count_texts(texts: list[str | None], path: str) -> tuple[list[int], list[int
         extra[i] = len(parts) - 1
         pieces += parts
         owner += [i] * len(parts)
-    end = np.array([NO_TABLE], np.uint32)
-    codes = np.concatenate([x for p in pieces for x in (np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32), end)] or [end])
-    at = np.flatnonzero(splitter.begins(codes)).tolist()
-    joined = "\0".join(pieces) + "\0"  # code points stand where they do in codes
-    words = [joined[a:b] for a, b in zip(at, at[1:] + [len(codes)])]
-    ends = np.cumsum([len(p) + 1 for p in pieces]) - 1 if pieces else np.zeros(0, np.int64)
-    starts = np.array(at)
+    words, ends = pretokens(splitter, pieces)
     counts = merger.counts(words)
-    counts[np.searchsorted(starts, ends)] = 0  # the ends are no words
-    total = np.concatenate([[0], np.cumsum(counts)])
-    until = total[np.searchsorted(starts, ends)]
+    counts[ends] = 0  # the ends are no words
+    until = np.concatenate([[0], np.cumsum(counts)])[ends]
     tokens = list(extra)
     before = 0
     for i, n in zip(owner, until.tolist()):

@@ -17,48 +17,97 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches
+from .token_counts import Splitter, pretokens
 from .tokenizer_files import default_path
 
-MAX_WORDS = 600_000
-#: Byte-level BPE's own cut of a text into pre-tokens.
-PRETOKEN = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Pre-tokens that a worker remembers.
+MAX_WORDS = 1_000_000
 
 
 class Encoder:
+    """Texts to ids. A known pre-token has a number; ids of number k are flat[first[k]:first[k] + length[k]]."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [None if t and any(s in t for s in self.special) else PRETOKEN.findall(t or "") for t in texts]
+        self.splitter = Splitter()
+        self.line_end = self.ids("\n")
+        self.clear()
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.used = 0
+        self.add("", [0])  # number 0 stands for the end of a text
+
+    def add(self, word: str, ids) -> None:
+        k, n = len(self.known), len(ids)
+        while k >= len(self.first):
+            self.first, self.length = np.resize(self.first, 2 * k), np.resize(self.length, 2 * k)
+        while self.used + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.known[word] = k
+        self.first[k], self.length[k] = self.used, n
+        self.flat[self.used : self.used + n] = ids
+        self.used += n
+
+    def learn(self, words: list[str]) -> None:
+        """Asks the library: words without white space but for a blank before them in one text, a line each."""
+        plain = [w for w in words if not w.isspace()] if len(self.line_end) == 1 else []
+        for w in set(words).difference(plain):
+            self.add(w, self.ids(w))
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            (got,) = self.tokenizer.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)
+            ids = np.array(got.ids, np.int32)
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) != len(some):
+                for w in some:
+                    self.add(w, self.ids(w))
+                continue
+            start = 0
+            for w, end in zip(some, ends.tolist()):
+                self.add(w, ids[start:end])
+                start = end + 1
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by end_id; and the length of each text's."""
+        whole = {i: np.array([*self.ids(t), end_id], np.int32) for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        words, ends = pretokens(self.splitter, ["" if i in whole else t or "" for i, t in enumerate(texts)])
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        new = list(set().union(*(c for c in cut if c)) - self.known.keys())
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)):
-                self.known[w] = e.ids
-        get = self.known.__getitem__
-        out = []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for x in map(get, c):
-                    ids += x
-                out.append(ids)
-        return out
+            self.clear()
+        get = self.known.get
+        numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        numbers[ends] = 0
+        if (new := np.flatnonzero(numbers < 0)).size:
+            self.learn(list({words[i]: 0 for i in new.tolist()}))
+            get = self.known.__getitem__
+            numbers[new] = [get(words[i]) for i in new.tolist()]
+        length = self.length[numbers].astype(np.int64)
+        until = np.cumsum(length)
+        ids = self.flat[np.repeat(self.first[numbers] - until + length, length) + np.arange(until[-1] if len(until) else 0)]
+        stops = until[ends]
+        ids[stops - 1] = end_id
+        sizes = np.diff(stops, prepend=0)
+        if whole:
+            parts = np.split(ids, stops[:-1])
+            for i, x in whole.items():
+                parts[i], sizes[i] = x, len(x)
+            ids = np.concatenate(parts)
+        return ids, sizes
 
 
 @lru_cache(2)
@@ -76,11 +125,10 @@ def encoded(docs: DataFrame, text: str, key: str, path: str, end_id: int) -> Dat
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for b in batches:
             texts = b.column("t").to_pylist()
-            for i in range(0, len(texts), 64):
-                ids = encoder(path).encode(texts[i : i + 64])
-                offsets = np.cumsum([0, *(len(x) + 1 for x in ids)])
-                flat = np.fromiter((n for x in ids for n in (*x, end_id)), np.int32, offsets[-1])
-                yield pa.RecordBatch.from_arrays([b.column("k").slice(i, 64), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], [key, "ids"])
+            for i in range(0, len(texts), 128):
+                ids, sizes = encoder(path).encode(texts[i : i + 128], end_id)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([b.column("k").slice(i, 128), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], [key, "ids"])
 
     return text_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"`{key}` {kind.simpleString()}, ids array<int>")
 
