@@ -12,9 +12,9 @@ Documents with equal sets are one class, represented by its smallest key. Classe
 The boundary is where the subsets emitted begin to cost more than list entries and verification (`boundary`).
 
 A group of n similar classes is not compared pair by pair. The first round compares each member with one pivot, that
-with which it shares most lists, and joins what is similar to components. Later rounds compare only members of a list
-that are in different components: in lists of up to 32 members all such pairs, in longer ones with more and more
-pivots, until no list has an open pair. So every pair that could connect two components is verified.
+with which it shares most lists, and joins what is similar to components. Two more rounds, over lists of up to 32 members
+and then over longer ones, compare only members of a list that are in different components by then, and only those whose
+places in the list's sets let them have enough in common. So every pair that could connect two components is verified.
 
 Defined results: words are runs of anything but blank and \\t to \\r, A-Z lower-cased. A text with fewer words than a
 shingle is one shingle; a null or wordless one has no set, is linked with nothing and is its own component. Rows with
@@ -172,6 +172,16 @@ def small_links(classes: DataFrame, x: int, num: int, den: int) -> DataFrame:
     return sides.where("n1 = least(n, other) AND n2 = greatest(n, other) AND rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
 
 
+def may_meet(n1: str, i: str, n2: str, j: str, x: int, num: int, den: int) -> str:
+    """SQL: sets of n1 and n2 elements with one at places i and j of their orders may be similar, by way of that one.
+
+    With t elements in common needed, the first one they share has t - 1 more behind it in both sets; and whatever
+    stands before an element they share, at most the lesser of the two places is in common there.
+    """
+    t = f"(({num} * ({n1} + {n2}) + {num + den - 1}) DIV {num + den})"
+    return f"greatest({n1}, {n2}) > {x} AND {i} <= {n1} - {t} AND {j} <= {n2} - {t} AND least({i}, {j}) + least({n1} - {i}, {n2} - {j}) >= {t}"
+
+
 def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose prefixes have enough elements in common.
 
@@ -215,34 +225,31 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
     x = boundary(sizes, num, den)
     links = staged(small_links(classes, x, num, den).select("a", "b"), "links-small")
 
-    entries = classes.where(F.col("n") >= num * (x + 1) // den).select(F.explode("prefix").alias("h"), "rep", "n")
+    entries = classes.where(F.col("n") >= num * (x + 1) // den).select("rep", "n", F.posexplode("prefix").alias("at", "h"))
     w = Window.partitionBy("h")
-    lists = staged(entries.withColumn("m", F.count("*").over(w)).withColumn("pivot", F.min(F.struct("rep", "n")).over(w)).where("m > 1"), "lists")
-    fits = lambda a, b: (den * F.col(a) >= num * F.col(b)) & (den * F.col(b) >= num * F.col(a)) & (F.greatest(a, b) > x)
-    first = lists.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), F.col("pivot.n").alias("na"), "n").where(F.col("a") < F.col("b")).where(fits("na", "n"))
+    lists = staged(entries.withColumn("m", F.count("*").over(w)).withColumn("pivot", F.min(F.struct("rep", "n", "at")).over(w)).where("m > 1"), "lists")
+    first = lists.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), F.col("pivot.n").alias("na"), F.col("pivot.at").alias("ia"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    first = first.where("a < b").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
     # One pivot for each member: that with which it shares most lists.
     pairs = first.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
     pairs = staged(plausible(pairs, classes, num, den), "pairs")
-    tested, pivots, done = pairs, 8, False
-    while True:
+    tested = pairs
+    # What is still open: first all pairs of different components in short lists, then those in long ones.
+    for last in (False, True):
         links = links.union(verified(pairs, docs, "t", "id", k, num, den))
         labels = staged(components(links), "components")
-        now = lists.select("h", "rep", "n", "m").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        now = now.withColumn("c1", F.min("c").over(w)).withColumn("c2", F.max("c").over(w)).where("c1 < c2")
-        now = staged(now.select("h", "rep", "n", "m", "c").withColumn("place", F.row_number().over(w.orderBy("rep"))), "open-lists")
-        longest = now.where(F.col("m") > SHORT_LIST).agg(F.max("place").alias("n")).first()["n"] or 0
-        while not done:
-            some = now.where((F.col("m") <= SHORT_LIST) | (F.col("place") <= pivots)).select("h", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"))
-            met = now.join(some, "h").where("c <> cp").where(fits("np", "n")).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-            pairs = staged(plausible(met.join(tested, ["a", "b"], "left_anti"), classes, num, den), "pairs")
-            done, pivots = pivots >= longest, pivots * 4
-            if not pairs.isEmpty():
-                break
-        else:
-            break
-        if pairs.isEmpty():
-            break
+        now = lists.select("h", "rep", "n", "at", "m").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        now = now.withColumn("c1", F.min("c").over(w)).withColumn("c2", F.max("c").over(w)).where("c1 < c2").drop("c1", "c2", "component")
+        lists = staged(now, "open-lists")
+        some = lists if last else lists.where(F.col("m") <= SHORT_LIST)
+        left = some.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c").alias("ca"))
+        met = left.join(some, "h").where("a < rep AND c <> ca").where(F.expr(may_meet("na", "ia", "n", "at", x, num, den))).select("a", F.col("rep").alias("b")).distinct()
+        pairs = staged(plausible(met.join(tested, ["a", "b"], "left_anti"), classes, num, den), "pairs")
         tested = tested.union(pairs)
+        lists = lists.drop("c").where(F.col("m") > SHORT_LIST)
+    if not pairs.isEmpty():
+        links = links.union(verified(pairs, docs, "t", "id", k, num, den))
+        labels = staged(components(links), "components")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("c"))
     out = sets.select("id", "n", "sig").join(named, F.col("sig") == F.col("s"), "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("c")).otherwise(F.col("id"))
