@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import staged, text_batches
 from .token_counts import Splitter, pretokens
 from .tokenizer_files import default_path
 
@@ -53,16 +53,21 @@ class Encoder:
         self.used = 0
         self.add("", [0])  # number 0 stands for the end of a text
 
-    def add(self, word: str, ids) -> None:
-        k, n = len(self.known), len(ids)
-        while k >= len(self.first):
-            self.first, self.length = np.resize(self.first, 2 * k), np.resize(self.length, 2 * k)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
+    def room(self, words: int, ids: int) -> int:
+        """The first free number, with room for so many more words and ids."""
+        k = len(self.known)
+        if k + words > len(self.first):
+            self.first, self.length = np.resize(self.first, 2 * (k + words)), np.resize(self.length, 2 * (k + words))
+        if self.used + ids > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + ids))
+        return k
+
+    def add(self, word: str, ids: list[int]) -> None:
+        k = self.room(1, len(ids))
         self.known[word] = k
-        self.first[k], self.length[k] = self.used, n
-        self.flat[self.used : self.used + n] = ids
-        self.used += n
+        self.first[k], self.length[k] = self.used, len(ids)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def learn(self, words: list[str]) -> None:
         """Asks the library: words without white space but for a blank before them in one text, a line each."""
@@ -78,10 +83,12 @@ class Encoder:
                 for w in some:
                     self.add(w, self.ids(w))
                 continue
-            start = 0
-            for w, end in zip(some, ends.tolist()):
-                self.add(w, ids[start:end])
-                start = end + 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            k = self.room(len(some), len(ids))
+            self.first[k : k + len(some)], self.length[k : k + len(some)] = self.used + starts, ends - starts
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.known.update(zip(some, range(k, k + len(some))))
+            self.used += len(ids)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id; and the length of each text's."""
@@ -157,11 +164,13 @@ def digests(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column("ids")
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("range_no"), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64())], [key, "range_no", "n_tokens", "ids_crc32"])
+            data = memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
+            at = ids.offsets.to_numpy().astype(np.int64)
+            crc = [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("range_no"), pa.array(np.diff(at)), pa.array(crc, pa.int64())], [key, "range_no", "n_tokens", "ids_crc32"])
 
-    sums = text_batches(tokens.select(F.col(key).alias("k"), "range_no", "ids"), run, f"`{key}` {kind.simpleString()}, range_no int, n_tokens long, ids_crc32 long")
-    each = tokens.groupBy("range_no").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+    sums = staged(text_batches(tokens.select(F.col(key).alias("k"), "range_no", "ids"), run, f"`{key}` {kind.simpleString()}, range_no int, n_tokens long, ids_crc32 long"), "token-sums")
+    each = sums.groupBy("range_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     first = each.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("range_no").orderBy(F.col(key).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
