@@ -63,7 +63,7 @@ def base(docs: DataFrame, text: str, key: str, lang: str, source: str) -> DataFr
     rows = rows.select("k", "lang", "source", "t", F.expr(f"array_remove(split(t, '{SPACE}+'), '')").alias("words"), F.expr(r"filter(split(t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')").alias("lines"))
     figures = {
         "n_words": "CAST(size(words) AS BIGINT)",
-        "word_chars": "CAST(length(translate(t, ' \\t\\n\\u000B\\f\\r', '')) AS BIGINT)",
+        "word_chars": "CAST(length(array_join(words, '')) AS BIGINT)",
         "n_symbols": "CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT)",
         "n_dup_lines": "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)",
         "n_repeat_words": repeat_words("words"),
@@ -83,7 +83,7 @@ def fences(figures: DataFrame, reach: float, least: int) -> DataFrame:
 
     one = quartiles(groups, "source")
     two = quartiles(merged(groups.groupBy("lang")), "lang").withColumnRenamed("lang", "lang2")
-    three = quartiles(merged(groups.groupBy()), "all")
+    three = quartiles(merged(groups.groupBy()).where("n > 0"), "all")
     every = one.join(two, one["lang"].eqNullSafe(two["lang2"])).crossJoin(F.broadcast(three))  # `three` is one row
     q = F.when(F.col("n_source") >= least, F.col("q_source")).when(F.col("n_lang") >= least, F.col("q_lang")).otherwise(F.col("q_all"))
     out = [F.col("lang").alias("__lang"), F.col("source").alias("__source")]
