@@ -32,13 +32,18 @@ def sparse_to_dense(c: str | Column, cardinality: int | None = None, single: boo
     s, kind = column(c), "float" if single else "double"
     n = s["cardinality"] if cardinality is None else F.lit(cardinality)
     inside = F.filter(s["entries"], lambda e: (e["index"] >= 0) & (e["index"] < n))
-    # By index: sorted once, then merged into zeros. map_from_entries would look each index up in turn.
     order = F.array_sort(F.transform(inside, lambda e, at: F.struct(e["index"].alias("index"), at.alias("at"), e["value"].cast(kind).alias("value"))))
-    last = F.filter(F.transform(order, lambda e, k: F.struct(e["index"].alias("index"), e["value"].alias("value"), (F.coalesce(F.get(order, k + 1)["index"], F.lit(-1)) != e["index"]).alias("keep"))), lambda e: e["keep"])
-    zero = F.lit(0).cast(kind)
-    gap = lambda k: F.array_repeat(zero, k)
-    merged = F.aggregate(last, F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("a")), lambda acc, e: F.struct((e["index"] + 1).alias("n"), F.concat(acc["a"], gap(e["index"] - acc["n"]), F.array(e["value"])).alias("a")))
-    return F.concat(merged["a"], gap(n - merged["n"]))
+    zeros = lambda k: F.array_repeat(F.lit(0).cast(kind), k)
+    after = lambda o, k: F.coalesce(F.get(o, k)["index"], F.lit(-1))
+    last = let(order, lambda o: F.filter(F.transform(o, lambda e, k: F.struct(e["index"].alias("index"), e["value"].alias("value"), (after(o, k + 1) != e["index"]).alias("keep"))), lambda e: e["keep"]))
+    # In order of the index, each value comes after the zeros between it and the one before.
+    filled = lambda o: F.flatten(F.transform(o, lambda e, k: F.concat(zeros(e["index"] - after(o, k - 1) - 1), F.array(e["value"]))))
+    return let(last, lambda o: F.concat(filled(o), zeros(n - after(o, F.size(o) - 1) - 1)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for all of its uses, those in lambdas too."""
+    return F.transform(F.array(value), body)[0]
 
 
 def out_of_bounds(c: str | Column, cardinality: int | None = None) -> Column:
