@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .functions import casts, inflect, invoke, vector
 from .operators import relational, search
-from .sources import columnar, kv, proto_codec, records, text, thrift_codec
+from .sources import columnar, cross_idl, kv, loaders, proto_codec, rcfile, records, text, thrift_codec
 from .storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,6 +395,58 @@ def columnar_evolution(spark, table):
     return columnar.read_columns(spark, at, wider, {"id": 1, "label": 2, "region": 3, "later": 9}).where("region = 1").select("label", "id", "later")
 
 
+@query("SELECT n_nationkey, nullif(n_name, 'FRANCE') AS n_name FROM nation")
+def rcfile_roundtrip(spark, table):
+    """Two of three columns; an empty cell is a null."""
+    at = new_path(spark, "rcfile")
+    rcfile.write_columns(table("nation").withColumn("n_name", F.nullif(F.col("n_name"), F.lit("FRANCE"))), at, "org.apache.hadoop.io.compress.DefaultCodec")
+    cells = rcfile.read_columns(spark, at, [0, 1])
+    return cells.select(F.col("c0").cast("string").cast("int").alias("n_nationkey"), F.col("c1").cast("string").alias("n_name"))
+
+
+@query(CUSTOMERS)
+def rcfile_records(spark, table):
+    at = new_path(spark, "rcfile-records")
+    rcfile.write_records(table("customer"), at, customer_codec("thrift"), "org.apache.hadoop.io.compress.GzipCodec")
+    return rcfile.read_records(spark, at, customer_codec("thrift"))
+
+
+@query("SELECT c_custkey, c_acctbal, CAST(NULL AS VARCHAR) AS later FROM customer")
+def rcfile_evolution(spark, table):
+    """Read with another struct: fields by id, one of them not written yet."""
+    at = new_path(spark, "rcfile-evolution")
+    rcfile.write_records(table("customer"), at, customer_codec("thrift"))
+    later = thrift_codec.Codec(thrift_codec.parse("struct Later { 4: double c_acctbal, 9: string later, 1: i64 c_custkey }"), "Later")
+    return rcfile.read_records(spark, at, later).select("c_custkey", "c_acctbal", "later")
+
+
+@query(CUSTOMERS)
+def thrift_to_proto(spark, table):
+    """Structs written as the messages that their schema converts to, and read as those."""
+    schema = thrift_codec.parse(CUSTOMER_THRIFT)
+    codec = proto_codec.Codec(cross_idl.message_file(schema, "Customer"), "Customer")
+    at = new_path(spark, "converted")
+    records.write_records(table("customer"), at, codec, "block", "Customer")
+    return records.read_records(spark, at, codec)
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def loader_view(spark, table):
+    """Records behind a view, for SQL."""
+    at = new_path(spark, "loader")
+    records.write_records(table("customer"), at, customer_codec("proto"), "b64line")
+    loaders.register(spark, "stored_customers", at, CUSTOMER_PROTO, "Customer")
+    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM stored_customers GROUP BY 1")
+
+
+@query("SELECT n_nationkey AS key FROM nation")
+def sequencefile_raw(spark, table):
+    """Keys as the bytes that were written."""
+    at = new_path(spark, "sequence-raw")
+    kv.write_pairs(table("nation").select("n_nationkey", "n_name"), at)
+    return kv.read_raw_pairs(spark, at).select(F.conv(F.hex("key"), 16, 10).cast("int").alias("key"))
+
+
 @query("SELECT r_regionkey, CAST(length(r_name) AS INTEGER) AS size, replace(r_name, 'A', '*') AS starred FROM region")
 def reflect_invoke(spark, table):
     size = invoke.invoke_python("builtins.len", F.col("r_name"), returns="int", spark=spark)

@@ -24,6 +24,12 @@ def read_pairs(spark: SparkSession, path: str, key: str = "Text", value: str = "
     return spark.createDataFrame(clean, schema).select(*(columns or ["key", "value"]))
 
 
+def read_raw_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """key and value as the bytes that their Writables wrote, whatever classes those are; none is loaded."""
+    rdd = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.SequenceFileAsBinaryInputFormat", PACKAGE + "BytesWritable", PACKAGE + "BytesWritable")
+    return spark.createDataFrame(rdd.map(lambda kv: (bytearray(kv[0]), bytearray(kv[1]))), "key binary, value binary")
+
+
 def write_pairs(df: DataFrame, path: str, codec: str | None = None) -> None:
     """Two columns as keys and values; rows with a null in either are left out. codec: a Hadoop compression class.
 

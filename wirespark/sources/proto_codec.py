@@ -24,6 +24,8 @@ def parse(text: str) -> descriptor_pb2.FileDescriptorProto:
 
     def take() -> str:
         nonlocal at
+        if at >= len(tokens):
+            raise ValueError("the text ends within a declaration")
         at += 1
         return tokens[at - 1]
 

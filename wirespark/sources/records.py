@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shipping import ship
 from .thrift_codec import DecodeError
-from .text import base64_line
+from .text import base64_bytes, base64_line
 from .tolerance import ErrorBudget
 
 #: Fixed values of the format.
@@ -138,7 +138,7 @@ def framed_records(spark: SparkSession, path: str | list[str], layout: str = "au
         return rows.where(F.octet_length("value") > 0).select(F.col("value").cast("binary").alias("framed"), F.lit(True).alias("is_block"))
     rows = spark.read.option("recursiveFileLookup", "true").text(paths).where(F.octet_length(F.trim("value")) > 0)
     # A line that is no base64 is a bad record: it goes on as a null.
-    return rows.select(F.expr("try_to_binary(trim(value), 'base64')").alias("framed"), F.lit(False).alias("is_block"))
+    return rows.select(base64_bytes("value").alias("framed"), F.lit(False).alias("is_block"))
 
 
 def read_records(spark: SparkSession, path: str | list[str], codec, layout: str = "auto", threshold: float = 0.0001, least: int = 2, early: bool = False) -> DataFrame:

@@ -75,6 +75,19 @@ def base64_line(c: str | Column) -> Column:
     return F.regexp_replace(F.base64(c), r"[\r\n]+", "")
 
 
+def base64_bytes(c: str | Column) -> Column:
+    """The bytes of a base64 text without what isn't base64 at its ends; null if it is none within."""
+    text = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[^A-Za-z0-9+/=]+|[^A-Za-z0-9+/=]+$", "")
+    return F.try_to_binary(text, F.lit("base64"))
+
+
+def write_pairs_text(df: DataFrame, path: str, sep: str = "\\t", mode: str = "error", compression: str = "none") -> None:
+    """Lines of key, separator and value; a null in either leaves out both it and the separator."""
+    key, value = [F.col(c).cast("string") for c in df.columns]
+    line = F.when(key.isNull(), value).when(value.isNull(), key).otherwise(F.concat(key, F.lit(delimiter(sep)), value))
+    df.select(F.coalesce(line, F.lit("")).alias("value")).write.mode(mode).option("compression", compression).text(path)
+
+
 def regex_fields(text: str | Column, pattern: str, groups: int) -> list[Column]:
     """What each group of the first find matched, '' where a group had no part in it."""
     column = F.col(text) if isinstance(text, str) else text
