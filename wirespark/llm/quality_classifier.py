@@ -7,8 +7,9 @@ punctuation, one for digits, blank, line end; the rest share 40 symbols by code
 a document's trigrams are joined to it in place. All trusted text is counted, whole; nothing is sampled.
 
 A document's perplexity is compared with its language's threshold: the `quantile` of the trusted documents' perplexities
-in that language, raised by `slack` times its distance to their median (log scale). Languages without trusted documents
-use that of all trusted documents. Documents above the threshold are rejected.
+in that language, raised by `slack` times its distance to their median (log scale). Texts are taken as if `prior` more
+characters of the median followed, so that a few characters alone don't reject one. Languages without trusted documents
+use the threshold of all trusted documents. Documents above the threshold are rejected.
 
 Defined results: a null or empty text has no perplexity (null) and is rejected. Without any trusted text nothing can be
 judged, and all texts with characters are kept. A null language is a language of its own. Rows are judged one by one; repeated rows alike; empty tables give empty results.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -117,7 +118,7 @@ class PerplexityModel:
         ship(spark)
         self.sent = spark.sparkContext.broadcast(table) if table is not None else None
 
-    def perplexity(self, text) -> F.Column:
+    def perplexity(self, text) -> Column:
         sent = self.sent
         if sent is None:
             return F.when(F.length(text) > 0, F.lit(1.0))
@@ -146,29 +147,44 @@ def train(trusted: DataFrame, text: str = "text") -> PerplexityModel:
     return PerplexityModel(trusted.sparkSession, log_probabilities(table["gram"].to_numpy(), table["n"].to_numpy()))
 
 
-def thresholds(scored: DataFrame, quantile: float, slack: float) -> tuple[DataFrame, float | None]:
-    """lang, threshold from scored (lang, perplexity) of trusted documents; and the threshold of all of them."""
-    def cut(df):
-        q = F.percentile_approx(F.log("perplexity"), [0.5, quantile], 10000)
-        return df.agg(q.alias("q")).withColumn("threshold", F.exp(F.col("q")[1] + slack * (F.col("q")[1] - F.col("q")[0])))
+def thresholds(own: DataFrame, quantile: float, slack: float, prior: int) -> tuple[DataFrame, tuple[float, float] | None]:
+    """From (lang, n, perplexity) of trusted documents: __lang, __middle (log), __limit (log); and the last two over all."""
+    own = own.withColumn("x", F.log("perplexity"))
+    middle = F.percentile_approx("x", 0.5, 10000)
 
-    every = cut(scored.groupBy()).first()
-    return cut(scored.groupBy("lang")).select(F.col("lang").alias("__lang"), "threshold"), every["threshold"]
+    def limits(df, keys):
+        m = df.groupBy(*keys).agg(middle.alias("m")).withColumnsRenamed({k: f"__{k}" for k in keys})
+        on = df["lang"].eqNullSafe(m["__lang"]) if keys else F.lit(True)
+        each = df.join(F.broadcast(m), on).withColumn("y", settled(F.col("x"), F.col("n"), F.col("m"), prior))
+        return each.groupBy(*[f"__{k}" for k in keys]).agg(F.first("m").alias("__middle"), F.percentile_approx("y", quantile, 10000).alias("q")).withColumn("__limit", F.col("q") + slack * (F.col("q") - F.col("__middle"))).drop("q")
 
+    every = limits(own, []).first()
+    return limits(own, ["lang"]), None if every is None or every["__limit"] is None else (every["__middle"], every["__limit"])
 
-def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, slack: float = 0.25) -> DataFrame:
-    """docs with __perplexity, __threshold, __kept. trusted_keys: one column, the keys of trusted documents.
 
-    The keys are broadcast if there are at most two million, else joined by a shuffle.
+def settled(x: Column, n: Column, middle: Column, prior: int) -> Column:
+    """Log perplexity with `prior` more characters of the language's middle: short texts tell little."""
+    return (x * n + middle * prior) / (n + prior)
+
+
+def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, slack: float = 0.25, prior: int = 20) -> DataFrame:
+    """docs with __perplexity, __threshold (what it may be for a text of that length), __kept.
+
+    trusted_keys: one column, the keys of trusted documents; broadcast if there are at most two million, else joined by
+    a shuffle.
     """
     keys = trusted_keys.toDF("__trusted").distinct()
     trusted = docs.join(broadcast_if(keys, 2_000_000), docs[key] == F.col("__trusted"), "left_semi")
     model = train(trusted, text)
-    own = staged(trusted.select(F.col(lang).alias("lang"), model.perplexity(F.col(text)).alias("perplexity")).where("perplexity IS NOT NULL"), "trusted-perplexity")
-    by_lang, every = thresholds(own, quantile, slack)
+    own = staged(trusted.select(F.col(lang).alias("lang"), F.length(text).alias("n"), model.perplexity(F.col(text)).alias("perplexity")).where("perplexity IS NOT NULL"), "trusted-perplexity")
+    by_lang, every = thresholds(own, quantile, slack, prior)
     by_lang = staged(by_lang, "perplexity-thresholds")
-    scored = docs.withColumn("__perplexity", model.perplexity(F.col(text))).join(broadcast_if(by_lang, 5000), docs[lang].eqNullSafe(F.col("__lang")), "left").withColumn("__threshold", F.coalesce("threshold", F.lit(every if every is not None else float("inf"))))
-    return scored.drop("__lang", "threshold").withColumn("__kept", F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.lit(False)))
+    scored = docs.withColumn("__perplexity", model.perplexity(F.col(text))).join(broadcast_if(by_lang, 5000), docs[lang].eqNullSafe(F.col("__lang")), "left")
+    middle, limit = every or (0.0, float("inf"))
+    n, m = F.length(text), F.coalesce("__middle", F.lit(middle))
+    least = (F.coalesce("__limit", F.lit(limit)) * (n + prior) - m * prior) / n
+    scored = scored.withColumn("__threshold", F.when(n > 0, F.exp(F.least(least, F.lit(700.0)))))
+    return scored.drop("__lang", "__middle", "__limit").withColumn("__kept", F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.lit(False)))
 
 
 def kept_rows(docs: DataFrame, trusted_keys: DataFrame, **more) -> DataFrame:
