@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wirespark.functions import casts, inflect, invoke, vector
+from wirespark.functions import casts, conf, inflect, invoke, vector, writables
+from wirespark.storage import new_path
 
 PAIRS = [("search", "searches"), ("fish", "fish"), ("query", "queries"), ("index", "indices"), ("safe", "saves"), ("person", "people"), ("datum", "data"), ("ox", "oxen"), ("quiz", "quizzes"), ("virus", "viri"), ("matrix", "matrices"), ("axis", "axes"), ("mouse", "mice")]
 
@@ -22,7 +23,7 @@ def test_words(spark):
         df = spark.createDataFrame([(camel, under)], "c string, u string")
         assert df.select(inflect.underscore("c")).first()[0] == under
     df = spark.createDataFrame([("users_section/commission_department", "inner_class__test", "area51_controller")], "a string, b string, c string")
-    assert df.select(inflect.camelize("a"), inflect.camelize("b"), inflect.camelize("c", True)).first() == ("users.CommissionDepartment".replace("users", "usersSection"), "InnerClass$Test", "area51Controller")
+    assert df.select(inflect.camelize("a"), inflect.camelize("b"), inflect.camelize("c", True)).first() == ("usersSection.CommissionDepartment", "InnerClass$Test", "area51Controller")
     lit = F.lit
     assert one(spark, inflect.foreign_key(lit("application.billing.Account"))) == "account_id"
     assert one(spark, inflect.foreign_key(lit("Account"), False)) == "accountid"
@@ -71,3 +72,36 @@ def test_invoke(spark):
         invoke.invoke_static("noclass", F.lit(1))
     with pytest.raises(ValueError):
         invoke.invoke_python("math.fsum", F.lit(1), returns="date")
+
+
+def test_converters(spark):
+    at = [new_path(spark, "test-converters") for _ in range(4)]
+    df = spark.createDataFrame([("7", 3_000_000_000), ("8", None)], "k string, v bigint")
+    writables.store_pairs(df, at[0], "-c int", "--converter int")
+    assert [tuple(r) for r in writables.load_pairs(spark, at[0], "-c int", "-c int").collect()] == [(7, -1294967296)]
+    writables.store_pairs(spark.sql("SELECT 2.9D AS k, array(1, 2) AS v"), at[1], "-c long")
+    assert tuple(writables.load_pairs(spark, at[1], "-c long").first()) == (2, "[1,2]")
+    assert writables.load_pairs(spark, at[1], "-c long", columns=["value"]).columns == ["value"]
+    v = spark.sql("SELECT 'a' AS k, array(1D, 0D, 3D) AS v")
+    writables.store_pairs(v, at[2], value="-c vector -cardinality 2")
+    assert writables.load_pairs(spark, at[2], value="-c vector -dense -cardinality 2").first().value == [1.0, 0.0]
+    entries = writables.load_pairs(spark, at[2], value="-c vector -sparse").first().value
+    assert entries.cardinality == 2 and [tuple(e) for e in entries.entries] == [(0, 1.0)]
+    with pytest.raises(Exception, match="cardinality"):
+        writables.load_pairs(spark, at[2], value="-c vector -dense -cardinality 3").collect()
+    for bad in ("-c", "-x int", "-c nothing", "-c vector -dense -sparse", "-c vector -odd"):
+        with pytest.raises(ValueError):
+            writables.converter(bad)
+    with pytest.raises(TypeError):
+        writables.store_pairs(spark.sql("SELECT map(1, 2) AS k, 1 AS v"), at[3], "-c int", "-c int")
+    with pytest.raises(ValueError):
+        writables.load_pairs(spark, at[0], columns=[])
+
+
+def test_conf(spark):
+    conf.put(spark, "wirespark.test.list", ["a", 1, {"b": None}])
+    assert conf.get(spark, "wirespark.test.list") == ["a", 1, {"b": None}] and conf.get(spark, "wirespark.test.none", 5) == 5
+    conf.put_once(spark, "wirespark.test.name", "x")
+    conf.put_once(spark, "wirespark.test.name", "x")
+    with pytest.raises(ValueError):
+        conf.put_once(spark, "wirespark.test.name", "y")

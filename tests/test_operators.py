@@ -1,5 +1,3 @@
-import time
-
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,4 +111,3 @@ def test_streams(spark):
     found.processAllAvailable()
     found.stop()
     assert spark.sql("SELECT count(*) FROM kinds").first()[0] == 1000
-    assert time

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,4 +150,3 @@ def test_raw_pairs_and_pair_lines(spark):
 def test_base64_ends(spark):
     df = spark.createDataFrame([("  YWI=\r",), ("#YWI=#",), ("Y!WI=",)], "t string")
     assert [r[0] and bytes(r[0]) for r in df.select(text.base64_bytes("t")).collect()] == [b"ab", b"ab", None]
-    assert random

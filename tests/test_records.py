@@ -199,6 +199,9 @@ def test_tolerance(spark, layout):
     assert records.read_records(spark, at, thrift(), layout, least=11).count() == 90
     with pytest.raises(Exception, match="bad record"):
         records.read_records(spark, at, thrift(), layout, threshold=0).count()
+    seen = records.Counters(spark)
+    records.read_records(spark, at, thrift(), layout, threshold=0.5, counters=seen).count()
+    assert seen.values() == {"Records Read": 90, "Errors": 10, "Records Skipped": 0}
 
 
 def test_budget():
@@ -236,3 +239,6 @@ def test_writers_drop_null_rows_and_check_columns(spark):
         records.encoded(spark.range(1).selectExpr("id", "id AS b"), records.Raw())
     with pytest.raises(ValueError):
         records.read_records(spark, "x", records.Raw(), "other")
+    records.check_schema(people(spark), thrift())
+    with pytest.raises(ValueError):
+        records.check_schema(spark.range(1), thrift())

@@ -141,17 +141,27 @@ def framed_records(spark: SparkSession, path: str | list[str], layout: str = "au
     return rows.select(base64_bytes("value").alias("framed"), F.lit(False).alias("is_block"))
 
 
-def read_records(spark: SparkSession, path: str | list[str], codec, layout: str = "auto", threshold: float = 0.0001, least: int = 2, early: bool = False) -> DataFrame:
+class Counters:
+    """What a scan saw, over all partitions: records, errors, empty records. Retried tasks count again."""
+
+    def __init__(self, spark: SparkSession):
+        self.records, self.errors, self.empty = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def values(self) -> dict[str, int]:
+        return {"Records Read": self.records.value, "Errors": self.errors.value, "Records Skipped": self.empty.value}
+
+
+def read_records(spark: SparkSession, path: str | list[str], codec, layout: str = "auto", threshold: float = 0.0001, least: int = 2, early: bool = False, counters: Counters | None = None) -> DataFrame:
     """A DataFrame of the codec's columns. Empty records vanish; bad ones are tolerated as ErrorBudget says, by partition."""
-    return decoded(framed_records(spark, path, layout), codec, threshold, least, early)
+    return decoded(framed_records(spark, path, layout), codec, threshold, least, early, counters)
 
 
-def decoded(framed: DataFrame, codec, threshold: float = 0.0001, least: int = 2, early: bool = False) -> DataFrame:
+def decoded(framed: DataFrame, codec, threshold: float = 0.0001, least: int = 2, early: bool = False, counters: Counters | None = None) -> DataFrame:
     kind = codec.spark_schema()
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        budget = ErrorBudget(threshold, least, early)
+        budget, empty = ErrorBudget(threshold, least, early), 0
         for b in batches:
             rows = []
             for data, whole in zip(b.column("framed").to_pylist(), b.column("is_block").to_pylist()):
@@ -164,6 +174,7 @@ def decoded(framed: DataFrame, codec, threshold: float = 0.0001, least: int = 2,
                     continue
                 for r in records:
                     if not r:
+                        empty += 1
                         continue
                     try:
                         rows.append(codec.decode(r))
@@ -175,6 +186,10 @@ def decoded(framed: DataFrame, codec, threshold: float = 0.0001, least: int = 2,
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, arrow)
+        if counters:
+            counters.records.add(budget.records - budget.errors)
+            counters.errors.add(budget.errors)
+            counters.empty.add(empty)
         budget.close()
 
     ship(framed.sparkSession)
@@ -198,6 +213,14 @@ def encoded(df: DataFrame, codec) -> DataFrame:
     return df.mapInArrow(run, "record binary")
 
 
+def check_schema(df: DataFrame, codec) -> None:
+    """Fails unless df has the codec's columns with their types, in order."""
+    want, got = codec.spark_schema(), df.schema
+    bare = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields]
+    if bare(want) != bare(got):
+        raise ValueError(f"expected {want.simpleString()}, not {got.simpleString()}")
+
+
 def plain(v):
     """Arrow's maps come as lists of pairs."""
     if isinstance(v, list):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +56,21 @@ def json_nested(text: str | Column) -> Column:
     return F.when(F.schema_of_variant(got).startswith("OBJECT"), got)
 
 
-def read_json(spark: SparkSession, path, nested: bool = False, null_as_empty: bool = False, strict_numbers: bool = True, **options) -> DataFrame:
-    """`json`: a map, or a VARIANT with nested, for each line that is a JSON object; other lines are left out."""
+def read_json(spark: SparkSession, path, nested: bool = False, null_as_empty: bool = False, strict_numbers: bool = True, seen: Observation | None = None, **options) -> DataFrame:
+    """`json`: a map, or a VARIANT with nested, for each line that is a JSON object; other lines are left out.
+
+    seen gets the counts LinesRead, LinesJsonDecoded and LinesParseError.
+    """
     rows = spark.read.options(**options).text(path)
-    return rows.select((json_nested("value") if nested else json_map("value", null_as_empty, strict_numbers)).alias("json")).where("json IS NOT NULL")
+    rows = rows.select((json_nested("value") if nested else json_map("value", null_as_empty, strict_numbers)).alias("json"))
+    return observed(rows, seen, F.col("json").isNotNull(), "LinesRead", "LinesJsonDecoded", "LinesParseError").where("json IS NOT NULL")
+
+
+def observed(rows: DataFrame, seen: Observation | None, good: Column, every: str, kept: str, lost: str) -> DataFrame:
+    """rows, with counts of all, of the good and of the others for an Observation."""
+    if seen is None:
+        return rows
+    return rows.observe(seen, F.count(F.lit(1)).alias(every), F.count_if(good).alias(kept), F.count_if(~F.coalesce(good, F.lit(False))).alias(lost))
 
 
 def write_json(df: DataFrame, column: str, path: str, keys: list[str] | None = None, mode: str = "error", compression: str = "none") -> None:
@@ -95,9 +105,13 @@ def regex_fields(text: str | Column, pattern: str, groups: int) -> list[Column]:
     return [F.regexp_extract(column, pattern, i + 1) for i in range(groups)]
 
 
-def parse_regex(df: DataFrame, text: str, pattern: str, names: list[str]) -> DataFrame:
-    """Columns by group for the rows in which pattern is found; other rows are left out."""
+def parse_regex(df: DataFrame, text: str, pattern: str, names: list[str], seen: Observation | None = None) -> DataFrame:
+    """Columns by group for the rows in which pattern is found; other rows are left out.
+
+    seen gets the counts Lines, MatchedRegexLines and UnmatchedRegexLines.
+    """
     single = pattern.replace("\\\\", "\\")
+    df = observed(df, seen, F.col(text).rlike(single), "Lines", "MatchedRegexLines", "UnmatchedRegexLines")
     return df.where(F.col(text).rlike(single)).select(*[c.alias(n) for c, n in zip(regex_fields(text, pattern, len(names)), names)])
 
 
