@@ -15,7 +15,7 @@ def filled(sizes, most=3):
         if not over:
             return out | {s: level * weight[s] for s in left}
         for s in over:
-            out[s] = float(most * sizes.pop(s) if False else most * left.pop(s))
+            out[s] = float(most * left.pop(s))
     return out
 
 
