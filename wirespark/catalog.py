@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,12 +127,12 @@ def order_names(spark, table):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY encode(c_name), c_custkey) AS place FROM customer")
 def record_sort(spark, table):
-    return table("customer").select("c_custkey", F.row_number().over(Window.orderBy(relational.byte_order("c_name"), "c_custkey")).alias("place"))
+    return relational.numbered(table("customer").select("c_custkey", "c_name"), [relational.byte_order("c_name"), F.col("c_custkey")]).select("c_custkey", "place")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY length(p_name), p_name, p_partkey) AS place FROM part")
 def length_first_sort(spark, table):
-    return table("part").select("p_partkey", F.row_number().over(Window.orderBy(*relational.length_first("p_name"), "p_partkey")).alias("place"))
+    return relational.numbered(table("part").select("p_partkey", "p_name"), [*relational.length_first("p_name"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 @query("SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 
 def present_in(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Rows that occur in others, all columns compared null-safe by name. Spark broadcasts others by its size only."""
@@ -45,3 +47,22 @@ def length_first(c: str | Column) -> list[Column]:
     b = byte_order(c)
     flipped = F.transform(F.split(F.hex(b), "(?<=\\G..)"), lambda h: F.when(h >= "80", F.concat(F.lit("0"), h)).otherwise(F.concat(F.lit("1"), h)))
     return [F.octet_length(b), F.array_join(flipped, "")]
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in the total order of its rows; ties in any order.
+
+    No task sees all rows, as it would in a window without partitions: rows are dealt into ranges and stored with their
+    range's number; places are counted inside the ranges and added to the sizes of those before.
+    """
+    spark = df.sparkSession
+    at = new_path(spark, "ranges")
+    keys = [c.alias(f"__o{i}") for i, c in enumerate(order)]
+    keyed = df.select(*df.columns, *keys)
+    by = [F.col(f"__o{i}") for i in range(len(order))]
+    keyed.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()).write.parquet(at)
+    rows = spark.read.parquet(at)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("n"))
+    first = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
+    return rows.withColumn("__inside", inside).join(first, "__range").select(*df.columns, (F.col("__first") + F.col("__inside")).alias(name))
