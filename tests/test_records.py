@@ -99,7 +99,7 @@ def test_map_keys_that_collide():
 
 def test_proto_person():
     codec = proto_codec.Codec(proto_codec.parse(ADDRESS), "Person")
-    person = {"name": "Elephant Bird", "id": 123, "email": "elephant@bird.com", "phone": [{"number": "415-999-9999"}, {"number": "415-666-6666", "type": "MOBILE"}]}
+    person = {"name": "Ada Lovelace", "id": 123, "email": "ada@example.org", "phone": [{"number": "415-999-9999"}, {"number": "415-666-6666", "type": "MOBILE"}]}
     got = codec.decode(codec.encode(person))
     assert got == person | {"phone": [{"number": "415-999-9999", "type": "HOME"}, {"number": "415-666-6666", "type": "MOBILE"}]}
     assert codec.decode(codec.encode({"name": "x", "id": 1}))["email"] == ""
