@@ -29,7 +29,7 @@ from .token_counts import Splitter, pretokens
 from .tokenizer_files import default_path
 
 #: Pre-tokens that a worker remembers.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 1_390_000
 
 
 class Encoder:
@@ -74,8 +74,8 @@ class Encoder:
         plain = [w for w in words if not w.isspace()] if len(self.line_end) == 1 else []
         for w in set(words).difference(plain):
             self.add(w, self.ids(w))
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
+        for i in range(0, len(plain), 200):
+            some = plain[i : i + 200]
             (got,) = self.tokenizer.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)
             ids = np.array(got.ids, np.int32)
             ends = np.flatnonzero(ids == self.line_end[0])
@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, to: str, text: str = "text", key: str = "doc_i
     path = path or default_path()
     dealt = docs.select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
     rows = encoded(dealt, text, key, path, end_id).withColumn("range_no", F.spark_partition_id())
-    (rows.write.option("compression", "zstd").option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_mb << 20)).orc(to))
+    (rows.write.option("compression", "snappy").option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_mb << 20)).orc(to))
 
 
 def read_tokens(spark, at: str, key: str = "doc_id", key_value=None) -> DataFrame:
