@@ -226,9 +226,11 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
     links = staged(small_links(classes, x, num, den).select("a", "b"), "links-small")
 
     entries = classes.where(F.col("n") >= num * (x + 1) // den).select("rep", "n", F.posexplode("prefix").alias("at", "h"))
-    w = Window.partitionBy("h")
-    lists = staged(entries.withColumn("m", F.count("*").over(w)).withColumn("pivot", F.min(F.struct("rep", "n", "at")).over(w)).where("m > 1"), "lists")
-    first = lists.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), F.col("pivot.n").alias("na"), F.col("pivot.at").alias("ia"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    # Sizes and pivots of lists by partial aggregation, then a join that Spark can split: a hot list is in no one task.
+    heads = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+    lists = staged(entries.join(heads, "h"), "lists")
+    pivots = lists.where("rep = pivot").select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    first = lists.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib")).join(pivots, "h")
     first = first.where("a < b").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
     # One pivot for each member: that with which it shares most lists.
     pairs = first.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
@@ -239,8 +241,10 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
         links = links.union(verified(pairs, docs, "t", "id", k, num, den))
         labels = staged(components(links), "components")
         now = lists.select("h", "rep", "n", "at", "m").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        now = now.withColumn("c1", F.min("c").over(w)).withColumn("c2", F.max("c").over(w)).where("c1 < c2").drop("c1", "c2", "component")
-        lists = staged(now, "open-lists")
+        now = staged(now.drop("component"), "placed-lists")
+        open_lists = now.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("h")
+        lists = staged(now.join(open_lists, "h", "left_semi"), "open-lists")
+        discard(now)
         some = lists if last else lists.where(F.col("m") <= SHORT_LIST)
         left = some.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c").alias("ca"))
         met = left.join(some, "h").where("a < rep AND c <> ca").where(F.expr(may_meet("na", "ia", "n", "at", x, num, den))).select("a", F.col("rep").alias("b")).distinct()
