@@ -12,7 +12,7 @@ def text(df: DataFrame) -> str:
 
 
 def shuffles(df: DataFrame) -> int:
-    return len(re.findall(r"\bExchange (?:hash|range|round|Single)", text(df)))
+    return len(re.findall(r"\bExchange (?:hash|range|RoundRobin|Single)", text(df)))
 
 
 def read_columns(df: DataFrame) -> set[str]:
