@@ -3,7 +3,7 @@
 import pytest
 
 from wirespark.llm import decontamination, language_id, license_scan, quality_rules, token_counts
-from wirespark.llm.common import documents
+from wirespark.llm.common import spread
 from wirespark.plans.inspect import python_nodes, read_columns, shuffles
 
 SF = "/root/testdata/sf0.001"
@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    docs = documents(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     return {
         "tokens": token_counts.token_counts(docs),
         "matches": decontamination.digest(decontamination.scan(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))),
@@ -31,3 +31,9 @@ def test_one_pass_without_shuffle(plans):
 def test_native_operators_run_without_python(plans):
     for name in ("licences", "figures"):
         assert python_nodes(plans[name]) == [], name
+
+
+def test_spread(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert shuffles(spread(docs)) == 1 and spread(docs).rdd.getNumPartitions() == 4
+    assert shuffles(spread(docs, most_mb=0)) == 0 and shuffles(spread(spark.range(5))) == 0

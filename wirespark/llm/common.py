@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import new_path
 
 #: Rows of an Arrow batch that carries texts, so that a worker holds few long ones at once.
 TEXT_BATCH = 512
-_local_default: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _local_default.setdefault("dir", tempfile.mkdtemp(prefix="wirespark-"))
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wirespark-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +46,21 @@ def text_batches(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> Da
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame, most_mb: int = 64) -> DataFrame:
+    """df, dealt to all cores if it lies in fewer files than there are cores, of up to most_mb a core.
+
+    A small file is often one row group, which is one task however many cores are idle. Larger tables stay as they are.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size <= cores * (most_mb << 20) else df
 
 
 def is_small(df: DataFrame, rows: int) -> bool:

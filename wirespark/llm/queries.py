@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, jaccard_join, language_id, license_scan, mixing, quality_classifier, quality_rules, sharding, token_counts, token_files
-from .common import documents, new_path, staged
+from .common import documents, new_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = sharding.sharded(documents(spark, sf_dir), new_path(spark, "shards"))
+    _, rows = sharding.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_path(spark, "shards"))
     return sharding.shard_digest(rows)
 
 
@@ -57,7 +57,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_path(spark, "tokens")
-    token_files.write_tokens(documents(spark, sf_dir), at)
+    token_files.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), at)
     return token_files.digests(token_files.read_tokens(spark, at))
 
 
