@@ -78,3 +78,28 @@ def test_removal_keeps_columns_and_rows(spark, edges, benchmark, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminated(edges, none).count() == len(EDGES)
     assert D.decontaminated(nothing, benchmark).count() == 0
+
+
+def test_longest_matches_and_places(spark, edges, benchmark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_WORDS", 400)
+    got = {(r.item, r.at): (r.words, r.doc_id, r.place) for r in D.longest_matches(edges, benchmark).collect()}
+    want = {}
+    for i, x in ITEMS:
+        q = words(x)
+        for at in range(len(q)):
+            for d, t, *_ in EDGES:
+                w = words(t)
+                for p in range(len(w)):
+                    n = next((n for n in range(len(q) - at + 1) if n == len(q) - at or p + n == len(w) or w[p + n] != q[at + n]), 0) if w[p] == q[at] else 0
+                    if n >= min(8, len(q)):
+                        k = "null" if i is None else str(i), at
+                        want[k] = max(want.get(k, 0), n)
+    assert {k: v[0] for k, v in got.items()} == want
+    texts = {}
+    for d, t, *_ in EDGES:
+        texts.setdefault(d, []).append(words(t))
+    items = {}
+    for i, x in ITEMS:
+        items.setdefault("null" if i is None else str(i), []).append(words(x))
+    for (i, at), (n, d, p) in got.items():
+        assert any(w[p : p + n] == q[at : at + n] for w in texts[d] for q in items[i])

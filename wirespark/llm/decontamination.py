@@ -130,8 +130,8 @@ class Shard:
         return self.order[rows], np.repeat(need, n), np.repeat(q.item[found], n)
 
 
-def scan_shard(q: Queries, docs: list[np.ndarray]) -> list[tuple[np.ndarray, list[int]]]:
-    """For each document (numbers of its words): places of hit words, and the items found."""
+def runs(q: Queries, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The words of a shard: runs of known words that are long enough for a window, with the place and document of each."""
     parts, doc, place = [], [], []
     for k, ids in enumerate(docs):
         known = np.flatnonzero(ids)
@@ -144,10 +144,15 @@ def scan_shard(q: Queries, docs: list[np.ndarray]) -> list[tuple[np.ndarray, lis
             parts += [ids[run], np.zeros(1, np.int64)]
             place += [run, np.array([-1])]
             doc.append(np.full(b - a + 1, k))
+    return (np.concatenate(parts).astype(np.int64), np.concatenate(place), np.concatenate(doc)) if parts else None
+
+
+def scan_shard(q: Queries, docs: list[np.ndarray]) -> list[tuple[np.ndarray, list[int]]]:
+    """For each document (numbers of its words): places of hit words, and the items found."""
     out: list[tuple[np.ndarray, list[int]]] = [(np.zeros(0, np.int64), [])] * len(docs)
-    if not parts:
+    if (found := runs(q, docs)) is None:
         return out
-    words, place, doc = np.concatenate(parts).astype(np.int64), np.concatenate(place), np.concatenate(doc)
+    words, place, doc = found
     at, need, item = Shard(words).matches(q)
     if not len(at):
         return out
@@ -199,36 +204,67 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     return rows.select(F.col("c0").alias(key), "n_words", "hits", "items")
 
 
-def _found(batches, q: Queries, at: str):
+def shards(batches, q: Queries, at: str):
+    """Batches and the numbers of their documents' words, gathered to shards of SHARD_WORDS or a little more."""
     get = q.vocabulary.get
-    waiting: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
-
-    def done():
-        found = iter(scan_shard(q, [ids for _, docs in waiting for ids in docs]))
-        for b, docs in waiting:
-            hits, items = b.column("hits").to_pylist(), b.column("items").to_pylist()
-            for i in range(len(docs)):
-                places, numbers = next(found)
-                if len(places):
-                    hits[i] = np.union1d(places, hits[i] or []).astype(np.int32)
-                    items[i] = sorted({*(items[i] or []), *(q.ids[n] for n in numbers)})
-            own = [b.column(i) for i in range(b.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(map(len, docs), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
-        waiting.clear()
-
-    size = 0
+    held, docs, size = [], [], 0
     for b in batches:
-        docs = []
         for t in b.column(at).to_pylist():
             ws = words_of(t)
             docs.append(np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)))
             size += len(ws)
-        waiting.append((b, docs))
+        held.append(b)
         if size >= SHARD_WORDS:
-            yield from done()
-            size = 0
-    if waiting:
-        yield from done()
+            yield held, docs
+            held, docs, size = [], [], 0
+    if held:
+        yield held, docs
+
+
+def _found(batches, q: Queries, at: str):
+    for held, docs in shards(batches, q, at):
+        found = iter(zip(docs, scan_shard(q, docs)))
+        for b in held:
+            hits, items, sizes = b.column("hits").to_pylist(), b.column("items").to_pylist(), []
+            for i in range(b.num_rows):
+                ids, (places, numbers) = next(found)
+                sizes.append(len(ids))
+                if len(places):
+                    hits[i] = np.union1d(places, hits[i] or []).astype(np.int32)
+                    items[i] = sorted({*(items[i] or []), *(q.ids[n] for n in numbers)})
+            own = [b.column(i) for i in range(b.num_columns - 3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 8, block_words: int = 500_000) -> DataFrame:
+    """item, at, words, key, place: the longest verbatim match of each benchmark suffix, if it has a window's words.
+
+    The suffix of an item begins at its word `at`; the match is at the document's word `place`. Each shard names its
+    longest match for each suffix; the longest of all shards is kept, of equals that with the smallest key and place.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    out = spark.createDataFrame([], f"item string, at int, words int, k {kind}, place int")
+    for block in item_blocks(benchmark, item_text, item_key, block_words):
+        sent = spark.sparkContext.broadcast(Queries(block, window))
+
+        def run(batches, sent=sent):
+            q = sent.value
+            for keys, docs in shards(batches, q, "t"):
+                if (found := runs(q, docs)) is None:
+                    continue
+                words, place, doc = found
+                length, where = Shard(words).longest(q)
+                hit = np.flatnonzero(length >= q.need[q.suffixes])
+                s = q.suffixes[hit]
+                begin = np.array([np.flatnonzero(q.item == i)[0] for i in range(len(q.ids))])
+                who = pa.concat_arrays([b.column("k") for b in keys]).take(pa.array(doc[where[hit]]))
+                yield pa.RecordBatch.from_arrays([pa.array([q.ids[i] for i in q.item[s]], pa.string()), pa.array((s - begin[q.item[s]]).astype(np.int32)), pa.array(length[hit].astype(np.int32)), who, pa.array(place[where[hit]].astype(np.int32))], ["item", "at", "words", "k", "place"])
+
+        out = out.union(text_batches(rows, run, f"item string, at int, words int, k {kind}, place int"))
+    best = out.groupBy("item", "at").agg(F.min(F.struct((-F.col("words")).alias("w"), "k", "place")).alias("m"))
+    return best.select("item", "at", (-F.col("m.w")).alias("words"), F.col("m.k").alias(key), F.col("m.place").alias("place"))
 
 
 def digest(scanned: DataFrame, key: str = "doc_id", least_items: int = 2) -> DataFrame:
