@@ -39,7 +39,7 @@ def invoke_python(name: str, *args: Column, returns: str = "string", spark=None)
     if spark is not None:
         ship(spark)
 
-    def call(*columns):
+    def call(*columns: pd.Series) -> pd.Series:
         for n in range(len(parts) - 1, 0, -1):
             try:
                 f = importlib.import_module(".".join(parts[:n]))
@@ -51,4 +51,4 @@ def invoke_python(name: str, *args: Column, returns: str = "string", spark=None)
         plain = [[v.tolist() if hasattr(v, "tolist") else v for v in c] for c in columns]
         return pd.Series([None if any(v is None or v is pd.NA for v in row) else f(*row) for row in zip(*plain)])
 
-    return F.pandas_udf(call, TYPES[returns], F.PandasUDFType.SCALAR)(*args)
+    return F.pandas_udf(call, TYPES[returns])(*args)
