@@ -29,7 +29,7 @@ from .token_counts import Splitter, pretokens
 from .tokenizer_files import default_path
 
 #: Pre-tokens that a worker remembers.
-MAX_WORDS = 1_390_000
+MAX_WORDS = 1_150_000
 
 
 class Encoder:
