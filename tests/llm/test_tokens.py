@@ -65,21 +65,22 @@ def test_encoder_equals_the_library(library):
 
 
 def test_token_files_round_trip(spark, edges, nothing, library):
+    more = [(8, "one"), (8, None), (8, "two words"), (7, "")]
+    docs = edges.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = sorted([*((d, t) for d, t, *_ in EDGES), *more], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = new_path(spark, "test-tokens")
-    token_files.write_tokens(edges, at)
+    token_files.write_tokens(docs, at)
     got = token_files.digests(token_files.read_tokens(spark, at)).collect()
-    ids = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for d, t, *_ in EDGES]
-    order = sorted(ids, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     start, want = 0, []
-    for d, x in order:
+    for d, x in ((d, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in rows):
         want.append((d, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         start += len(x)
     key = lambda r: (r[1], r[2])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    assert token_files.read_tokens(spark, at, key_value=8).select("doc_id").collect() == [(8,)]
+    assert token_files.read_tokens(spark, at, key_value=8).select("doc_id").collect() == [(8,)] * 4
     empty = new_path(spark, "test-tokens")
     token_files.write_tokens(nothing, empty)
-    assert token_files.digests(spark.read.schema("doc_id long, ids array<int>, range_no int").orc(empty)).count() == 0
+    assert token_files.digests(spark.read.schema("doc_id long, ids array<int>, range_no int, row_no long").orc(empty)).count() == 0
 
 
 def test_orc_has_indexes_and_bloom_filters(spark, edges):

@@ -10,7 +10,7 @@ for each distinct pre-token it meets (a table of bounded size) and joins the ans
 special token go to the library whole.
 
 Defined results: a null text is empty (only the end id); null keys sort first; rows with equal keys are ordered by
-their ids, repeated rows are all kept; an empty table gives empty files and an empty result; other columns are ignored.
+their texts, repeated rows are all kept; an empty table gives empty files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,12 +144,12 @@ def write_tokens(docs: DataFrame, to: str, text: str = "text", key: str = "doc_i
     """Write ORC files under `to`. Ranges are split by key, so that a hot key alone can make a range large."""
     path = path or default_path()
     dealt = docs.select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
-    rows = encoded(dealt, text, key, path, end_id).withColumn("range_no", F.spark_partition_id())
+    rows = encoded(dealt, text, key, path, end_id).select(key, "ids", F.spark_partition_id().alias("range_no"), F.monotonically_increasing_id().alias("row_no"))
     (rows.write.option("compression", "snappy").option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_mb << 20)).orc(to))
 
 
 def read_tokens(spark, at: str, key: str = "doc_id", key_value=None) -> DataFrame:
-    """key, ids, range_no; with key_value only that key's rows, by way of the Bloom filters and indexes."""
+    """key, ids, range_no, row_no (ascending within a range); with key_value only that key's rows, by way of the Bloom filters and indexes."""
     df = spark.read.orc(at)
     return df if key_value is None else df.where(F.col(key) == F.lit(key_value))
 
@@ -167,11 +167,11 @@ def digests(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
             data = memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
             at = ids.offsets.to_numpy().astype(np.int64)
             crc = [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("range_no"), pa.array(np.diff(at)), pa.array(crc, pa.int64())], [key, "range_no", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("range_no"), b.column("row_no"), pa.array(np.diff(at)), pa.array(crc, pa.int64())], [key, "range_no", "row_no", "n_tokens", "ids_crc32"])
 
-    sums = staged(text_batches(tokens.select(F.col(key).alias("k"), "range_no", "ids"), run, f"`{key}` {kind.simpleString()}, range_no int, n_tokens long, ids_crc32 long"), "token-sums")
+    sums = staged(text_batches(tokens.select(F.col(key).alias("k"), "range_no", "row_no", "ids"), run, f"`{key}` {kind.simpleString()}, range_no int, row_no long, n_tokens long, ids_crc32 long"), "token-sums")
     each = sums.groupBy("range_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     first = each.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("range_no").orderBy(F.col(key).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(first), "range_no").select(key, (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
