@@ -27,6 +27,8 @@ from .common import broadcast_if, staged, text_batches
 
 SYMBOLS = 128
 BOUNDARY = 0
+#: Of the quantiles: exact, and so the same in every run, for up to half as many trusted documents a language.
+ACCURACY = 1_000_000
 #: Code points of a text looked at together.
 BLOCK = 1 << 20
 
@@ -150,13 +152,13 @@ def train(trusted: DataFrame, text: str = "text") -> PerplexityModel:
 def thresholds(own: DataFrame, quantile: float, slack: float, prior: int) -> tuple[DataFrame, tuple[float, float] | None]:
     """From (lang, n, perplexity) of trusted documents: __lang, __middle (log), __limit (log); and the last two over all."""
     own = own.withColumn("x", F.log("perplexity"))
-    middle = F.percentile_approx("x", 0.5, 10000)
+    middle = F.percentile_approx("x", 0.5, ACCURACY)
 
     def limits(df, keys):
         m = df.groupBy(*keys).agg(middle.alias("m")).withColumnsRenamed({k: f"__{k}" for k in keys})
         on = df["lang"].eqNullSafe(m["__lang"]) if keys else F.lit(True)
         each = df.join(F.broadcast(m), on).withColumn("y", settled(F.col("x"), F.col("n"), F.col("m"), prior))
-        return each.groupBy(*[f"__{k}" for k in keys]).agg(F.first("m").alias("__middle"), F.percentile_approx("y", quantile, 10000).alias("q")).withColumn("__limit", F.col("q") + slack * (F.col("q") - F.col("__middle"))).drop("q")
+        return each.groupBy(*[f"__{k}" for k in keys]).agg(F.first("m").alias("__middle"), F.percentile_approx("y", quantile, ACCURACY).alias("q")).withColumn("__limit", F.col("q") + slack * (F.col("q") - F.col("__middle"))).drop("q")
 
     every = limits(own, []).first()
     return limits(own, ["lang"]), None if every is None or every["__limit"] is None else (every["__middle"], every["__limit"])
