@@ -52,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir)).select("doc_id", F.array_join(F.col("licenses.license"), ",").alias("licenses"), "license", F.round("dice", 6).alias("dice"))
+    return license_scan.licenses(documents(spark, sf_dir)).select("doc_id", F.array_join(F.col("licenses.license"), ",").alias("licenses"), "license", F.round("dice", 6).alias("dice"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
