@@ -20,6 +20,14 @@ CASES = [
     ("Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0. All rights reserved.", "Apache-2.0"),
     (GPL, "GPL-3.0"),
     (prose(1, 300) + " Licensed under CC BY-NC 4.0. " + prose(2, 300), "CC-BY-NC-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("This work is licensed under the GNU General Public License, version 5.", None),
     (prose(3, 400), None),
 ]
 
