@@ -1,0 +1,86 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from wirespark.llm import quality_classifier as C
+
+from .conftest import prose, table
+
+
+def discount(counts):
+    d = C.discounts_of(*(sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)))
+    return lambda n: d[min(n, 3) - 1]
+
+
+def brute(texts, model):
+    """A function of a text: its perplexity, with counts in dictionaries."""
+    spelled = C.Spelling(*model.sent.value)
+    three = Counter()
+    for t in texts:
+        w = ["^", "^", *C.TOKEN.findall(t), ""]
+        three.update(zip(w, w[1:], w[2:]))
+    two = Counter((b, c) for _, b, c in three)
+    one = Counter((c,) for _, c in two)
+
+    def level(counts, lower):
+        d, total, freed = discount(counts), defaultdict(int), defaultdict(float)
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            freed[g[:-1]] += d(n)
+
+        def p(g):
+            t = total.get(g[:-1])
+            return lower(g[1:]) if t is None else ((n - d(n) if (n := counts.get(g, 0)) else 0) + freed[g[:-1]] * lower(g[1:] or g)) / t
+
+        return p
+
+    base = lambda g: math.exp(spelled[g[-1]] / C.UNIT)
+    p1 = level(one, base)
+    p3 = level(three, level(two, p1))
+
+    def perplexity(t):
+        w = ["^", "^", *C.TOKEN.findall(t), ""]
+        return math.exp(-sum(math.log(p3(g)) for g in zip(w, w[1:], w[2:])) / (len(t) + 1))
+
+    return perplexity
+
+
+def scored(spark, model, texts):
+    df = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = df.select("text").join(model.scores(df), F.xxhash64("text") == F.col("k")).collect()
+    return {r.text: r.perplexity for r in got}
+
+
+def test_equals_brute_force(spark):
+    trusted = [prose(i, 200, 60) for i in range(8)] + ["Ümlaut 中文 a\0b 12 it's\n\n"]
+    model = C.train_words(table(spark, [(i, t, "en", "s") for i, t in enumerate(trusted)]))
+    want = brute(trusted, model)
+    texts = [*trusted[:2], trusted[0], trusted[-1], prose(99, 300, 80), "x", "wq 123 中 文 é", "word " * 500]
+    got = scored(spark, model, texts)
+    assert len(got) == len(set(texts))
+    for t, p in got.items():
+        assert p == pytest.approx(want(t), rel=1e-4)
+
+
+def test_order_and_characters_matter(spark):
+    r = random.Random(1)
+    words = ["вера", "небо", "река", "снег", "гора", "село"]
+    trusted = [" ".join(words[(i + j) % 6] for j in range(60)) for i in range(6)]
+    model = C.train_words(table(spark, [(i, t, "ru", "s") for i, t in enumerate(trusted)]))
+    plain, mixed = trusted[0], trusted[0].split()
+    r.shuffle(mixed)
+    swapped = "".join(chr(ord(c) + 40) if c == "в" else c for c in plain)
+    assert C.symbols(swapped).tolist() == C.symbols(plain).tolist()
+    got = scored(spark, model, [plain, " ".join(mixed), swapped])
+    assert got[" ".join(mixed)] > 2 * got[plain] and got[swapped] > 1.2 * got[plain]
+
+
+def test_new_texts_of_the_kind_are_kept(spark):
+    rows = [(i, prose(i, 150, 400), "en", "s") for i in range(60)]
+    junk = [(100 + i, "".join(random.Random(i).choice("#%&x9 ") for _ in range(900)), "en", "s") for i in range(5)]
+    keys = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    kept = {r.doc_id for r in C.kept_rows(table(spark, rows + junk), keys).collect()}
+    assert kept == set(range(60))

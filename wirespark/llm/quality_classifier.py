@@ -1,12 +1,20 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
 
-Counts: each task counts its trusted texts' trigrams and hands over one row for each trigram that it has seen; those
-are summed by trigram, sharded by Spark. Characters are folded to 128 symbols (ASCII letters with their case,
-punctuation, one for digits, blank, line end; the rest share 40 symbols by code point), so a model has at most
-128^3 = 2 097 152 trigrams, 8 MB as a table of log probabilities: that bound makes it safe to send to every worker, where
-a document's trigrams are joined to it in place. All trusted text is counted, whole; nothing is sampled.
+Texts are cut without loss into tokens: words with the blank before them, and single characters for all else (also for
+scripts written without blanks). Trigrams, bigrams and tokens of all trusted texts are counted into a table that grows
+with them, keyed by 64-bit hashes; nothing is sampled or folded. Below the tokens stands a spelling model, so that
+unknown ones have a probability: character trigrams over the trusted vocabulary in 128 symbols, times the character's
+share of its symbol. That one is bounded (8 MB) and sent to every worker.
 
-A document's perplexity is compared with its language's threshold: the `quantile` of the trusted documents' perplexities
+An interpolated model is a sum of logs: log P(c | a b) = [d3(abc)] + [g3(ab) + d2(bc)] + [g2(b) + d1(c)] + base(c), where
+what wasn't seen is 0. So the model is one table of gram and value, and a text's score is the sum of the values of its
+grams. Each task hands over its distinct grams with the texts that have them; those meet the table in one join,
+and the values are summed by text. Values are whole millionths, so sums don't depend on their order.
+
+A model of that order knows its own texts by heart, so what new texts may have is learnt from trusted ones that it
+hasn't seen: each half of them is scored by a model of the other half (all of them by all, where a half is empty).
+
+A document's perplexity (a character) is compared with its language's threshold: the `quantile` of those perplexities
 in that language, raised by `slack` times its distance to their median (log scale). Texts are taken as if `prior` more
 characters of the median followed, so that a few characters alone don't reject one. Languages without trusted documents
 use the threshold of all trusted documents. Documents above the threshold are rejected.
@@ -17,6 +25,9 @@ judged, and all texts with characters are kept. A null language is a language of
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +42,16 @@ BOUNDARY = 0
 ACCURACY = 1_000_000
 #: Code points of a text looked at together.
 BLOCK = 1 << 20
+#: Words with the blank before them; else single characters, as in scripts without blanks between words.
+TOKEN = re.compile(r" ?[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|[\s\S]")
+#: Log values are kept in whole numbers of this fraction.
+UNIT = 1_000_000
+#: Hash before a text's first token; the token after its last is the empty one.
+START = 1
+#: Tokens that a worker gathers before it hands over their grams, and that it remembers.
+CHUNK, REMEMBERED = 1 << 20, 400_000
+#: Code points beyond ASCII that share a symbol.
+SHARING = (0x110000 - 128) // 40
 
 
 def _ascii_symbols() -> np.ndarray:
@@ -87,7 +108,12 @@ def count_trigrams(texts: DataFrame, text: str) -> DataFrame:
 
 def discounts(counts: np.ndarray) -> tuple[float, float, float]:
     """Modified Kneser-Ney's discounts for counts of 1, 2, and 3 or more."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
+    return discounts_of(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def discounts_of(*often: int) -> tuple[float, float, float]:
+    """The same from how many counts are 1, 2, 3 and 4."""
+    n1, n2, n3, n4 = (max(1, n) for n in often)
     y = n1 / (n1 + 2 * n2)
     return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
@@ -149,6 +175,244 @@ def train(trusted: DataFrame, text: str = "text") -> PerplexityModel:
     return PerplexityModel(trusted.sparkSession, log_probabilities(table["gram"].to_numpy(), table["n"].to_numpy()))
 
 
+class Hashes(dict):
+    """64-bit hashes of tokens."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+class Spelling(dict):
+    """Log probabilities of tokens by their characters, in UNITs."""
+
+    def __init__(self, table: np.ndarray, shares: dict[int, float]):
+        super().__init__()
+        self.table, self.shares = table, shares
+
+    def __missing__(self, token: str) -> int:
+        x = float(self.table.take(trigrams(symbols(token))).sum(dtype=np.float64))
+        for c in token:
+            if (c := ord(c)) >= 128:
+                x += self.shares.get(c) or self.shares[-(c % 40) - 1]
+            elif 48 <= c < 58:
+                x -= 2.302585092994046
+            elif c < 32 and c != 10 or c == 32 or c == 127:
+                x -= 3.4965075614664802  # 33 blanks and controls
+        self[token] = x = round(x * UNIT)
+        return x
+
+
+def character_shares(spark, counts: DataFrame) -> dict[int, float]:
+    """Logs of characters' shares of their symbols, from c int, n long (beyond ASCII); at -symbol - 1 that of a new one."""
+    got = counts.collect()
+    total = {}
+    for r in got:
+        total[r.c % 40] = total.get(r.c % 40, 0) + r.n
+    new = {-k - 1: float(np.log(1 / SHARING / (total.get(k, 0) + 1))) for k in range(40)}
+    return new | {r.c: float(np.log((r.n + 1 / SHARING) / (total[r.c % 40] + 1))) for r in got}
+
+
+def mixed(salt: int, *hashes: np.ndarray) -> np.ndarray:
+    """int64 keys of n-grams."""
+    x = np.full(len(hashes[0]), salt * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+    for h in hashes:
+        x = (x ^ h.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+    return x.view(np.int64)
+
+
+def grams(tokens: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the trigrams (one for each token and the end), bigrams (one more) and tokens (one more) of a text."""
+    h = np.empty(len(tokens) + 3, np.int64)
+    h[:2], h[-1] = START, known[""]
+    h[2:-1] = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    return mixed(3, h[:-2], h[1:-1], h[2:]), mixed(2, h[:-1], h[1:]), mixed(1, h[1:])
+
+
+def vocabulary(texts: DataFrame, text: str) -> DataFrame:
+    """token string: the different ones, with the empty one that ends texts."""
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            for t in b.column("t").to_pylist():
+                seen.update([*TOKEN.findall(t), ""] if t else [])
+            if len(seen) > REMEMBERED:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["token"])
+                seen = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["token"])
+
+    return text_batches(texts.select(F.col(text).alias("t")), run, "token string").distinct()
+
+
+def count_words(texts: DataFrame, text: str) -> DataFrame:
+    """abc, ab, bc, b, c (keys of the trigram and its parts), n: summed over all rows."""
+    names = ["abc", "ab", "bc", "b", "c"]
+
+    def run(batches):
+        known, parts, size = Hashes(), [], 0
+
+        def counted():
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            _, at, n = np.unique(columns[0], return_index=True, return_counts=True)
+            for i in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at[i : i + 50_000]]) for x in columns] + [pa.array(n[i : i + 50_000], pa.int64())], [*names, "n"])
+
+        for b in batches:
+            for t in b.column("t").to_pylist():
+                if not t:
+                    continue
+                three, two, one = grams(TOKEN.findall(t), known)
+                parts.append((three, two[:-1], two[1:], one[:-1], one[1:]))
+                size += len(three)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                if size >= CHUNK:
+                    yield from counted()
+                    parts, size = [], 0
+        if parts:
+            yield from counted()
+
+    each = text_batches(texts.select(F.col(text).alias("t")), run, ", ".join(f"{x} long" for x in names) + ", n long")
+    return each.groupBy("abc").agg(*[F.first(x).alias(x) for x in names[1:]], F.sum("n").alias("n"))
+
+
+class WordModel:
+    """values: g long (key), v long (log, in UNITs); spelling: the table and shares for Spelling; new: the log (in UNITs) that a token isn't among the known."""
+
+    def __init__(self, values: DataFrame, table: np.ndarray, shares: dict[int, float], new: int):
+        self.values, self.new = values, new
+        self.sent = values.sparkSession.sparkContext.broadcast((table, shares))
+
+    def scores(self, texts: DataFrame, text: str = "text") -> DataFrame:
+        """k long (xxhash64 of the text), perplexity double (a character), of the texts that have characters."""
+        sent, new = self.sent, self.new
+        pair = pa.struct([("k", pa.int64()), ("n", pa.int64())])
+
+        def run(batches):
+            known, spelled = Hashes(), Spelling(*sent.value)
+            parts, size, keys, base, chars = [], 0, [], [], []
+
+            def handed():
+                k, which = np.array(keys, np.int64), np.concatenate([np.full(sum(map(len, x)), i, np.int32) for i, x in enumerate(parts)])
+                g = np.concatenate([y for x in parts for y in x])
+                order = np.argsort(g, kind="stable")
+                g, which = g[order], which[order]
+                first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (which[1:] != which[:-1])])
+                n = np.diff(np.r_[first, len(g)])
+                g, which = g[first], which[first]
+                starts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+                for i in range(0, len(starts) - 1, 50_000):
+                    cut = starts[i : i + 50_001]
+                    a, z = cut[0], cut[-1]
+                    pairs = pa.StructArray.from_arrays([pa.array(k[which[a:z]]), pa.array(n[a:z], pa.int64())], fields=list(pair))
+                    yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), pa.array(np.zeros(len(cut) - 1, np.int32)), pa.ListArray.from_arrays(pa.array(cut - a, pa.int32()), pairs)], ["g", "x", "d"])
+                # Base logs and lengths have keys of no gram, so the join leaves them alone.
+                own = mixed(9, k[:1])[0]
+                both = [[{"k": a, "n": b} for a, b in zip(keys, x)] for x in (base, chars)]
+                yield pa.RecordBatch.from_arrays([pa.array([own, own], pa.int64()), pa.array([1, 2], pa.int32()), pa.array(both, pa.list_(pair))], ["g", "x", "d"])
+
+            for b in batches:
+                for t, k in zip(b.column("t").to_pylist(), b.column("k").to_pylist()):
+                    if not t:
+                        continue
+                    tokens = TOKEN.findall(t)
+                    parts.append(grams(tokens, known))
+                    keys.append(k)
+                    base.append(sum(map(spelled.__getitem__, tokens)) + spelled[""] + new * (len(tokens) + 1))
+                    chars.append(len(t) + 1)
+                    size += len(tokens)
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                        spelled.clear()
+                    if size >= CHUNK:
+                        yield from handed()
+                        parts, size, keys, base, chars = [], 0, [], [], []
+            if parts:
+                yield from handed()
+
+        each = text_batches(texts.select(F.col(text).alias("t"), F.xxhash64(text).alias("k")), run, "g long, x int, d array<struct<k: long, n: long>>")
+        met = each.join(self.values, "g", "left").where("x > 0 OR v IS NOT NULL").selectExpr("x", "v", "inline(d)")
+        sums = met.groupBy("k").agg(F.expr("sum(CASE x WHEN 0 THEN n * v WHEN 1 THEN n END)").alias("s"), F.expr("sum(IF(x = 2, n, 0))").alias("c"))
+        return sums.select("k", F.exp(-F.col("s") / F.col("c") / F.lit(float(UNIT))).alias("perplexity"))
+
+
+def train_words(trusted: DataFrame, text: str = "text") -> WordModel | None:
+    """The model of all texts of trusted; None without any. The driver gets the spelling model's counts alone."""
+    spark = trusted.sparkSession
+    words = staged(vocabulary(trusted, text), "vocabulary")
+    spelling = count_trigrams(words, "token").toArrow()
+    if not spelling.num_rows:
+        return None
+    table = log_probabilities(spelling["gram"].to_numpy(), spelling["n"].to_numpy())
+    shares = character_shares(spark, words.select(F.explode(F.split("token", "")).alias("c")).where("ascii(c) >= 128").groupBy(F.expr("ascii(c)").alias("c")).agg(F.count("*").alias("n")))
+    sent = spark.sparkContext.broadcast((table, shares))
+
+    def keyed(tokens: pa.Array) -> pa.Array:
+        known, spelled, all_ = Hashes(), Spelling(*sent.value), tokens.to_pylist()
+        g = mixed(1, np.fromiter(map(known.__getitem__, all_), np.int64, len(all_)))
+        return pa.StructArray.from_arrays([pa.array(g), pa.array([spelled[t] for t in all_], pa.int64())], ["c", "p0"])
+
+    keyed.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
+    spelled = words.select(F.arrow_udf(keyed, "struct<c: long, p0: long>")("token").alias("x")).select("x.*")
+
+    def discounted(df: DataFrame, n: str) -> DataFrame:
+        """With cut, the discount of each count."""
+        often = df.agg(*[F.count_if(F.col(n) == i).alias(str(i)) for i in (1, 2, 3, 4)]).first()
+        d1, d2, d3 = discounts_of(*often)
+        return df.withColumn("cut", F.when(F.col(n) >= 3, d3).when(F.col(n) == 2, d2).otherwise(d1))
+
+    def freed(df: DataFrame, n: str, context: str) -> DataFrame:
+        # Discounts have three values: sums of how often each occurs are the same in any order.
+        d = df.groupBy(context, "cut").agg(F.sum(n).alias("n"), F.count("*").alias("times")).groupBy(context)
+        d = d.agg(F.sum("n").alias("total"), F.expr("aggregate(array_sort(collect_list(cut * times)), 0D, (a, x) -> a + x)").alias("f"))
+        return d.select(context, "total", (F.col("f") / F.col("total")).alias("gamma"))
+
+    def log(x) -> Column:
+        return F.round(F.log(x) * UNIT).cast("long")
+
+    def small(df: DataFrame) -> DataFrame:
+        return broadcast_if(df, 1_000_000)
+
+    three = discounted(staged(count_words(trusted, text), "trigrams"), "n")
+    two = discounted(staged(three.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("n")), "bigrams"), "n")
+    one = discounted(staged(two.groupBy("c").agg(F.count("*").alias("n")), "unigrams"), "n")
+    whole = one.groupBy("cut").agg(F.sum("n").alias("n"), F.count("*").alias("times")).collect()
+    total = sum(r.n for r in whole)
+    gamma = sum(sorted(r.cut * r.times for r in whole)) / total
+    p0 = F.exp(F.col("p0") / UNIT)
+    one = staged(one.join(spelled, "c").select("c", "p0", ((F.col("n") - F.col("cut")) / total + gamma * p0).alias("p1")), "tokens-p")
+    two_of, three_of = staged(freed(two, "n", "b"), "tokens-gamma"), staged(freed(three, "n", "ab"), "bigrams-gamma")
+    two = two.join(small(two_of), "b").join(small(one), "c").select("bc", "p1", "gamma", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p1")).alias("p2"))
+    two = staged(two, "bigrams-p")
+    three = three.join(three_of, "ab").join(two.select("bc", "p2"), "bc").select("abc", "p2", "gamma", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p2")).alias("p3"))
+    new = round(float(np.log(gamma)) * UNIT)
+    values = [
+        three.select(F.col("abc").alias("g"), log(F.col("p3") / F.col("gamma") / F.col("p2")).alias("v")),
+        two.select("bc", log(F.col("p2") / F.col("gamma") / F.col("p1"))),
+        three_of.select("ab", log("gamma")),
+        one.select("c", log("p1") - new - F.col("p0")),
+        two_of.select("b", log("gamma")),
+    ]
+    every = values[0]
+    for v in values[1:]:
+        every = every.union(v)
+    return WordModel(staged(every.groupBy("g").agg(F.sum("v").alias("v")), "values"), table, shares, new)
+
+
+def held_out_scores(trusted: DataFrame, text: str) -> DataFrame:
+    """k, perplexity of trusted texts, in two halves by hash, each under the model of the other."""
+    halves = [trusted.where(F.pmod(F.xxhash64(text), F.lit(2)) == i) for i in (0, 1)]
+    found = trusted.select(F.xxhash64(text).alias("k"), F.lit(1.0).alias("perplexity")).where("false")
+    for this, other in (halves, halves[::-1]):
+        if (model := train_words(other, text)) is not None:
+            found = found.union(model.scores(this, text))
+    return found
+
+
 def thresholds(own: DataFrame, quantile: float, slack: float, prior: int) -> tuple[DataFrame, tuple[float, float] | None]:
     """From (lang, n, perplexity) of trusted documents: __lang, __middle (log), __limit (log); and the last two over all."""
     own = own.withColumn("x", F.log("perplexity"))
@@ -177,11 +441,26 @@ def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key
     """
     keys = trusted_keys.toDF("__trusted").distinct()
     trusted = docs.join(broadcast_if(keys, 2_000_000), docs[key] == F.col("__trusted"), "left_semi")
-    model = train(trusted, text)
-    own = staged(trusted.select(F.col(lang).alias("lang"), F.length(text).alias("n"), model.perplexity(F.col(text)).alias("perplexity")).where("perplexity IS NOT NULL"), "trusted-perplexity")
+    model = train_words(trusted, text)
+    if model is None:
+        scores = docs.select(F.xxhash64(text).alias("k"), F.lit(1.0).alias("perplexity")).where("false")
+    else:
+        scores = staged(model.scores(docs, text), "perplexity")
+    scores = broadcast_if(scores.withColumnsRenamed({"k": "__text", "perplexity": "__perplexity"}), 2_000_000)
+    own = trusted.select(F.col(lang).alias("lang"), F.length(text).alias("n"), F.xxhash64(text).alias("k")).where("n > 0")
+    own = own.join(scores, F.col("k") == F.col("__text"))
+    if model is not None:
+        held_out = broadcast_if(staged(held_out_scores(trusted, text), "held-out"), 2_000_000)
+        own = own.join(held_out.toDF("h", "held_out"), F.col("k") == F.col("h"), "left").withColumn("__perplexity", F.coalesce("held_out", "__perplexity"))
+    own = staged(own.select("lang", "n", F.col("__perplexity").alias("perplexity")), "trusted-perplexity")
     by_lang, every = thresholds(own, quantile, slack, prior)
     by_lang = staged(by_lang, "perplexity-thresholds")
-    scored = docs.withColumn("__perplexity", model.perplexity(F.col(text))).join(broadcast_if(by_lang, 5000), docs[lang].eqNullSafe(F.col("__lang")), "left")
+    has = F.length(text) > 0
+    if model is None:
+        scored = docs.withColumn("__perplexity", F.when(has, F.lit(1.0)))
+    else:
+        scored = docs.join(scores, F.when(has, F.xxhash64(text)) == F.col("__text"), "left").drop("__text")
+    scored = scored.join(broadcast_if(by_lang, 5000), docs[lang].eqNullSafe(F.col("__lang")), "left")
     middle, limit = every or (0.0, float("inf"))
     n, m = F.length(text), F.coalesce("__middle", F.lit(middle))
     least = (F.coalesce("__limit", F.lit(limit)) * (n + prior) - m * prior) / n
