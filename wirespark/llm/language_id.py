@@ -23,6 +23,8 @@ from .common import text_batches
 
 BINS = 1 << 16
 SCALE = 64.0
+#: Rows of a language that are asked for, however many languages there are.
+FEWEST = 50
 #: Code points of a text that are looked at together; longer texts take several rounds.
 BLOCK = 1 << 20
 #: Letters beyond this code point don't exist today.
@@ -95,7 +97,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha=0.5, beta=1.0, l
     """rows: (bins, relative frequencies, language). One in five is held out for the temperature."""
     langs = sorted({r[2] for r in rows})
     code = {x: k for k, x in enumerate(langs)}
-    fit, held = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 20], [r for i, r in enumerate(rows) if i % 5 == 0]
+    first = {r[2]: i for i, r in reversed(list(enumerate(rows)))}  # of a language, so that none is only held out
+    fit, held = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 20 or first[r[2]] == i], [r for i, r in enumerate(rows) if i % 5 == 0 and (len(rows) < 20 or first[r[2]] != i)]
     df = np.zeros(BINS)
     for bins, _, _ in fit:
         df[bins] += 1
@@ -136,17 +139,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha=0.5, beta=1.0, l
     return LanguageModel(langs, w.astype(np.float32), b, float(np.exp((lo + hi) / 2)))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1000, max_langs: int = 200) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1000, most_rows: int = 200_000) -> LanguageModel:
     """Fit on about per_lang rows of each language, chosen by a hash of the key: the documented bound of the sample.
 
-    Beyond max_langs languages the most frequent ones are learnt. The driver gets the sampled rows' features (at most
+    Every language is learnt. Where there are so many that most_rows would be passed, each has fewer rows, but FEWEST at
+    least. The driver gets the sampled rows' features (at most
     BINS bins each), not their texts.
     """
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).where("t IS NOT NULL AND g IS NOT NULL")
-    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(max_langs).collect()}
+    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros(0), 1.0)
-    rate = F.coalesce(*[F.when(F.col("g") == g, F.lit(min(1.0, per_lang / n))) for g, n in counts.items()], F.lit(0.0))
+    share = min(per_lang, max(FEWEST, most_rows // len(counts)))
+    rates = labelled.sparkSession.createDataFrame([(g, min(1.0, share / n)) for g, n in counts.items()], "g string, rate double")
     unit = F.pmod(F.xxhash64("k", "g"), F.lit(1 << 30)) / float(1 << 30)
 
     def features(batches):
@@ -163,7 +168,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.float32()))], ["k", "g", "bins", "tf"])
 
-    table = text_batches(rows.where(unit < rate), features, "k string, g string, bins array<int>, tf array<float>").toArrow()
+    table = text_batches(rows.join(F.broadcast(rates), "g").where(unit < F.col("rate")).select("k", "t", "g"), features, "k string, g string, bins array<int>, tf array<float>").toArrow()
     got = sorted(zip(table["k"].to_pylist(), table["g"].to_pylist(), range(len(table))))
     bins, tf = table["bins"], table["tf"]
     return train([(bins[i].values.to_numpy(), tf[i].values.to_numpy(), g) for _, g, i in got]) if got else LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros(0), 1.0)
