@@ -1,7 +1,5 @@
 import re
 
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from wirespark.llm import quality_classifier as C
@@ -13,40 +11,12 @@ from .conftest import EDGES, prose, table
 SF = "/root/testdata/sf0.01"
 
 
-def test_probabilities_sum_to_one():
-    r = np.random.default_rng(0)
-    grams, n = np.unique(r.zipf(1.5, 20_000) % C.SYMBOLS**3, return_counts=True)
-    p = np.exp(C.log_probabilities(grams, n)).reshape(-1, C.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3) and (p > 0).all()
-
-
-def test_counts_equal_brute_force(spark, edges):
-    got = {r.gram: r.n for r in C.count_trigrams(edges, "text").collect()}
-    want = {}
-    for _, t, *_ in EDGES:
-        if t:
-            for g in C.trigrams(C.symbols(t)).tolist():
-                want[g] = want.get(g, 0) + 1
-    assert got == want
-
-
 def test_separates_junk(spark):
     got = op6_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rate = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert rate[1] > 0.97 and rate[0] < 0.35
 
 
-def test_perplexity_is_the_models(spark, edges):
-    model = C.train(edges)
-    table = model.sent.value
-    got = {(r.doc_id, r.text): r.p for r in edges.select("doc_id", "text", model.perplexity(F.col("text")).alias("p")).collect()}
-    for d, t, *_ in EDGES:
-        if not t:
-            assert got[d, t] is None
-        else:
-            assert got[d, t] == pytest.approx(np.exp(-table[C.trigrams(C.symbols(t))].mean(dtype=np.float64)), rel=1e-4)
-
-
 def test_classifier_edges(spark, edges, nothing):
     keys = spark.createDataFrame([(1,), (7,), (None,)], "doc_id long")
     got = C.kept_rows(edges, keys)

@@ -1,431 +1,305 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of word trigrams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of characters' 5-grams, trained on trusted text.
 
-Texts are cut without loss into tokens: words with the blank before them, and single characters for all else (also for
-scripts written without blanks). Trigrams, bigrams and tokens of all trusted texts are counted into a table that grows
-with them, keyed by 64-bit hashes; nothing is sampled or folded. Below the tokens stands a spelling model, so that
-unknown ones have a probability: character trigrams over the trusted vocabulary in 128 symbols, times the character's
-share of its symbol. That one is bounded (8 MB) and sent to every worker.
+Grams are strings of up to `ORDER` characters of any script, nothing is folded or sampled; START stands before a text and
+END after it. All grams of the trusted texts are counted into tables that grow with them, order by order, by partial
+aggregation and joins. A share of the trusted texts (`held`, by a hash of the text) isn't learnt from: what a new text
+may have is read from those, since a model knows its own texts by heart.
 
-An interpolated model is a sum of logs: log P(c | a b) = [d3(abc)] + [g3(ab) + d2(bc)] + [g2(b) + d1(c)] + base(c), where
-what wasn't seen is 0. So the model is one table of gram and value, and a text's score is the sum of the values of its
-grams. Each task hands over its distinct grams with the texts that have them; those meet the table in one join,
-and the values are summed by text. Values are whole millionths, so sums don't depend on their order.
+An interpolated model is a sum of logs: log P(c | context) = base + the sum, over the grams of every order that end at
+c, of how each changes the probability and, over those before c, of the weight that it leaves to the next lower order;
+what wasn't seen adds 0. So the model is one table of gram and value, and a text's score is a sum of values.
 
-A model of that order knows its own texts by heart, so what new texts may have is learnt from trusted ones that it
-hasn't seen: each half of them is scored by a model of the other half (all of them by all, where a half is empty).
+Texts are dealt to chunks of about CHUNK characters, each different text once. A chunk hands over its distinct grams
+(far fewer than its characters, so this is the combining before the shuffle), they meet the table in a sharded join by
+gram, and the values found go back to the chunk, where the texts are summed. Chunks are taken in `slices`, so that the
+shared disks hold the shuffles of one slice at a time. Values are whole millionths: sums don't depend on their order.
 
-A document's perplexity (a character) is compared with its language's threshold: the `quantile` of those perplexities
-in that language, raised by `slack` times its distance to their median (log scale). Texts are taken as if `prior` more
-characters of the median followed, so that a few characters alone don't reject one. Languages without trusted documents
-use the threshold of all trusted documents. Documents above the threshold are rejected.
+A document's perplexity (a character) is compared with its language's threshold: the `quantile` of the held-out trusted
+ones in that language, raised by `slack` times its distance to their median (log scale). Quantiles come from counts of
+logs in whole thousandths, which merge in any order and are the same in every run. Texts are taken as if `prior` more
+characters of the median followed, so that a few characters alone don't reject one. Languages without held-out trusted
+documents use the threshold of all of them; if there are none at all, that of the learnt ones.
 
 Defined results: a null or empty text has no perplexity (null) and is rejected. Without any trusted text nothing can be
-judged, and all texts with characters are kept. A null language is a language of its own. Rows are judged one by one; repeated rows alike; empty tables give empty results.
+judged, and all texts with characters are kept. A null language is a language of its own. Rows are judged one by one;
+repeated rows alike; empty tables give empty results. A null key is never trusted. A text's own U+FFFF and U+FFFE count
+as START and END. Texts and grams are told apart by 64-bit hashes. Other columns may have any names.
 """
 
 from __future__ import annotations
 
-import re
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .common import broadcast_if, staged, text_batches
 
-SYMBOLS = 128
-BOUNDARY = 0
-#: Of the quantiles: exact, and so the same in every run, for up to half as many trusted documents a language.
-ACCURACY = 1_000_000
-#: Code points of a text looked at together.
-BLOCK = 1 << 20
-#: Words with the blank before them; else single characters, as in scripts without blanks between words.
-TOKEN = re.compile(r" ?[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|[\s\S]")
+ORDER = 5
+START, END = "￿", "￾"
 #: Log values are kept in whole numbers of this fraction.
 UNIT = 1_000_000
-#: Hash before a text's first token; the token after its last is the empty one.
-START = 1
-#: Tokens that a worker gathers before it hands over their grams, and that it remembers.
-CHUNK, REMEMBERED = 1 << 20, 400_000
-#: Code points beyond ASCII that share a symbol.
-SHARING = (0x110000 - 128) // 40
-
-
-def _ascii_symbols() -> np.ndarray:
-    table = np.zeros(128, np.uint8)
-    letters = [*range(65, 91), *range(97, 123)]
-    marks = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
-    for k, b in enumerate(letters + marks):
-        table[b] = 4 + k
-    table[48:58] = 3
-    table[32] = 1
-    table[10] = 2
-    table[[*range(10), *range(11, 32), 127]] = 1
-    return table
-
-
-ASCII = _ascii_symbols()  # symbols 0 to 87
-
-
-def symbols(text: str) -> np.ndarray:
-    """Symbols of a text between two boundaries each side."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros(len(codes) + 3, np.int32)
-    out[2:-1] = np.where(codes < 128, ASCII[np.minimum(codes, 127)], 88 + codes % 40)
-    return out
-
-
-def trigrams(s: np.ndarray) -> np.ndarray:
-    return (s[:-2] << 14) + (s[1:-1] << 7) + s[2:]
-
-
-def count_trigrams(texts: DataFrame, text: str) -> DataFrame:
-    """gram int, n long: summed over all rows."""
-
-    def run(batches):
-        total = np.zeros(SYMBOLS**3, np.int64)
-        for b in batches:
-            for t in b.column("t").to_pylist():
-                if t:
-                    s = symbols(t)
-                    for i in range(0, len(s) - 2, BLOCK):
-                        grams = trigrams(s[i : i + BLOCK + 2])
-                        if len(grams) > 100_000:
-                            total += np.bincount(grams, minlength=len(total))
-                        else:
-                            got, n = np.unique(grams, return_counts=True)
-                            total[got] += n
-        got = np.flatnonzero(total)
-        for i in range(0, len(got), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(got[i : i + 10_000], pa.int32()), pa.array(total[got[i : i + 10_000]], pa.int64())], ["gram", "n"])
-
-    each = text_batches(texts.select(F.col(text).alias("t")), run, "gram int, n long")
-    return each.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney's discounts for counts of 1, 2, and 3 or more."""
-    return discounts_of(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))
+#: Logs of perplexities are counted in whole numbers of this fraction.
+FINE = 1000
+#: Characters of a chunk, about; characters looked at together; keys that a worker gathers before it hands them over.
+CHUNK, BLOCK, GATHERED = 8 << 20, 1 << 20, 1 << 21
+#: Code points that a new character may be, with END.
+CODE_POINTS = 0x110000
+#: Rows that are broadcast at most, of two or three numbers each.
+SMALL = 1_000_000
 
 
 def discounts_of(*often: int) -> tuple[float, float, float]:
-    """The same from how many counts are 1, 2, 3 and 4."""
+    """Modified Kneser-Ney's discounts for counts of 1, 2, and 3 or more, from how many counts are 1, 2, 3 and 4."""
     n1, n2, n3, n4 = (max(1, n) for n in often)
     y = n1 / (n1 + 2 * n2)
     return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def interpolated(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """P(last | context) along the last axis, from counts and the next lower order's probabilities."""
-    d1, d2, d3 = discounts(counts)
-    total = counts.sum(axis=-1, keepdims=True)
-    cut = np.where(counts >= 3, d3, np.where(counts == 2, d2, np.where(counts == 1, d1, 0.0)))
-    freed = cut.sum(axis=-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (counts - cut) / total + freed / total * lower
-    return np.where(total > 0, p, np.broadcast_to(lower, counts.shape))
-
-
-def log_probabilities(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """float32 of SYMBOLS^3: natural logs, P(c | a b) at (a << 14) + (b << 7) + c."""
-    three = np.zeros((SYMBOLS,) * 3, np.float64)
-    three.ravel()[grams] = n
-    two = (three > 0).sum(axis=0).astype(np.float64)  # different symbols before
-    one = (two > 0).sum(axis=0).astype(np.float64)
-    p = interpolated(one, np.full(SYMBOLS, 1.0 / SYMBOLS))
-    p = interpolated(two, p)
-    p = interpolated(three, p)
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32).ravel()
-
-
-class PerplexityModel:
-    def __init__(self, spark, table: np.ndarray | None):
-        ship(spark)
-        self.sent = spark.sparkContext.broadcast(table) if table is not None else None
-
-    def perplexity(self, text) -> Column:
-        sent = self.sent
-        if sent is None:
-            return F.when(F.length(text) > 0, F.lit(1.0))
-
-        def score(texts: pa.Array) -> pa.Array:
-            table = sent.value
-            out = []
-            for t in texts:
-                if not (t := t.as_py()):
-                    out.append(None)
-                    continue
-                s = symbols(t)
-                total = sum(float(table.take(trigrams(s[i : i + BLOCK + 2])).sum(dtype=np.float64)) for i in range(0, len(s) - 2, BLOCK))
-                out.append(float(np.exp(-total / (len(s) - 2))))
-            return pa.array(out, pa.float64())
-
-        score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        return F.arrow_udf(score, "double")(text)
-
-
-def train(trusted: DataFrame, text: str = "text") -> PerplexityModel:
-    """The model of all texts of trusted. The driver gets at most SYMBOLS^3 counts."""
-    table = count_trigrams(trusted, text).toArrow()
-    if not table.num_rows:
-        return PerplexityModel(trusted.sparkSession, None)
-    return PerplexityModel(trusted.sparkSession, log_probabilities(table["gram"].to_numpy(), table["n"].to_numpy()))
-
-
-class Hashes(dict):
-    """64-bit hashes of tokens."""
-
-    def __missing__(self, token: str) -> int:
-        h = self[token] = int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        return h
-
-
-class Spelling(dict):
-    """Log probabilities of tokens by their characters, in UNITs."""
-
-    def __init__(self, table: np.ndarray, shares: dict[int, float]):
-        super().__init__()
-        self.table, self.shares = table, shares
-
-    def __missing__(self, token: str) -> int:
-        x = float(self.table.take(trigrams(symbols(token))).sum(dtype=np.float64))
-        for c in token:
-            if (c := ord(c)) >= 128:
-                x += self.shares.get(c) or self.shares[-(c % 40) - 1]
-            elif 48 <= c < 58:
-                x -= 2.302585092994046
-            elif c < 32 and c != 10 or c == 32 or c == 127:
-                x -= 3.4965075614664802  # 33 blanks and controls
-        self[token] = x = round(x * UNIT)
-        return x
-
-
-def character_shares(spark, counts: DataFrame) -> dict[int, float]:
-    """Logs of characters' shares of their symbols, from c int, n long (beyond ASCII); at -symbol - 1 that of a new one."""
-    got = counts.collect()
-    total = {}
-    for r in got:
-        total[r.c % 40] = total.get(r.c % 40, 0) + r.n
-    new = {-k - 1: float(np.log(1 / SHARING / (total.get(k, 0) + 1))) for k in range(40)}
-    return new | {r.c: float(np.log((r.n + 1 / SHARING) / (total[r.c % 40] + 1))) for r in got}
-
-
-def mixed(salt: int, *hashes: np.ndarray) -> np.ndarray:
-    """int64 keys of n-grams."""
-    x = np.full(len(hashes[0]), salt * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
-    for h in hashes:
-        x = (x ^ h.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-    return x.view(np.int64)
-
-
-def grams(tokens: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the trigrams (one for each token and the end), bigrams (one more) and tokens (one more) of a text."""
-    h = np.empty(len(tokens) + 3, np.int64)
-    h[:2], h[-1] = START, known[""]
-    h[2:-1] = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-    return mixed(3, h[:-2], h[1:-1], h[2:]), mixed(2, h[:-1], h[1:]), mixed(1, h[1:])
-
-
-def vocabulary(texts: DataFrame, text: str) -> DataFrame:
-    """token string: the different ones, with the empty one that ends texts."""
+def keys_of(codes: np.ndarray, n: int) -> np.ndarray:
+    """uint64 keys of the grams of n codes that begin at each place."""
+    h = np.full(len(codes) - n + 1, n, np.uint64)
+    for i in range(n):
+        h ^= codes[i : len(codes) - n + 1 + i]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def padded(text: str) -> str:
+    return START * (ORDER - 1) + text + END
+
+
+class Block:
+    """Texts, or a piece of one, that are looked at together: their distinct windows of ORDER characters."""
+
+    def __init__(self, pieces: list[str]):
+        """Every piece but the last of a text overlaps the next one by ORDER - 1 characters."""
+        self.text = "".join(pieces)
+        self.codes = codes_of(self.text)
+        ends = np.cumsum([len(p) for p in pieces])
+        self.starts = np.r_[0, ends[:-1]]
+        inside = np.ones(len(self.codes), bool)
+        for i in range(1, ORDER):
+            inside[ends - i] = False
+        at = np.flatnonzero(inside)
+        _, first, self.which = np.unique(keys_of(self.codes, ORDER)[at], return_index=True, return_inverse=True)
+        self.first = at[first]
+        self.of = np.searchsorted(ends, at, "right")  # the piece of each window
+
+    def keys(self) -> list[np.ndarray]:
+        """For the distinct windows: keys of the grams of 1 to ORDER characters that end them."""
+        columns = [self.codes[self.first + i] for i in range(ORDER)]
+        out = []
+        for n in range(1, ORDER + 1):
+            rows = np.stack(columns[ORDER - n :], axis=1).ravel() if n > 1 else columns[-1]
+            out.append(keys_of(rows, n)[::n])
+        return out
+
+    def sums(self, n: int, values) -> np.ndarray:
+        """For n pieces: the sum of the values (a function of keys) of all grams that end in them."""
+        total = sum(values(k) for k in self.keys())
+        out = np.zeros(n, np.int64)
+        np.add.at(out, self.of, total[self.which])
+        return out
+
+
+def blocks(texts: list[str]):
+    """Blocks of about BLOCK characters with, for each piece, the number of its text."""
+    pieces, of, size = [], [], 0
+    for k, t in enumerate(texts):
+        t = padded(t)
+        for i in range(0, len(t) - ORDER + 1, BLOCK):
+            pieces.append(t[i : i + BLOCK + ORDER - 1])
+            of.append(k)
+            size += len(pieces[-1])
+            if size >= BLOCK:
+                yield Block(pieces), of
+                pieces, of, size = [], [], 0
+    if pieces:
+        yield Block(pieces), of
+
+
+def edge_keys() -> np.ndarray:
+    """Keys of the grams of STARTs alone, which every text has before its first character."""
+    codes = codes_of(START * (ORDER - 1))
+    return np.array([keys_of(codes[:n], n)[0] for n in range(1, ORDER)], np.uint64)
+
+
+def count_grams(texts: DataFrame, text: str) -> DataFrame:
+    """gram string (of ORDER characters), n long: summed over all rows."""
 
     def run(batches):
-        seen = set()
+        held: dict[str, int] = {}
         for b in batches:
-            for t in b.column("t").to_pylist():
-                seen.update([*TOKEN.findall(t), ""] if t else [])
-            if len(seen) > REMEMBERED:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["token"])
-                seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["token"])
-
-    return text_batches(texts.select(F.col(text).alias("t")), run, "token string").distinct()
+            for block, _ in blocks([t for t in b.column("t").to_pylist() if t]):
+                n = np.bincount(block.which)
+                for i, m in zip(block.first.tolist(), n.tolist()):
+                    g = block.text[i : i + ORDER]
+                    held[g] = held.get(g, 0) + m
+            if len(held) > GATHERED:
+                yield from handed(held)
+                held = {}
+        yield from handed(held)
+
+    def handed(held):
+        grams, n = list(held), list(held.values())
+        for i in range(0, len(grams), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 50_000], pa.string()), pa.array(n[i : i + 50_000], pa.int64())], ["gram", "n"])
+
+    each = text_batches(texts.select(F.col(text).alias("t")), run, "gram string, n long")
+    return each.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def count_words(texts: DataFrame, text: str) -> DataFrame:
-    """abc, ab, bc, b, c (keys of the trigram and its parts), n: summed over all rows."""
-    names = ["abc", "ab", "bc", "b", "c"]
+def _log(x) -> Column:
+    return F.round(F.log(x) * UNIT).cast("long")
 
-    def run(batches):
-        known, parts, size = Hashes(), [], 0
 
-        def counted():
-            columns = [np.concatenate(x) for x in zip(*parts)]
-            _, at, n = np.unique(columns[0], return_index=True, return_counts=True)
-            for i in range(0, len(at), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at[i : i + 50_000]]) for x in columns] + [pa.array(n[i : i + 50_000], pa.int64())], [*names, "n"])
+def train(trusted: DataFrame, text: str = "text") -> "Model | None":
+    """The model of all texts of trusted; None without any."""
+    levels = [staged(count_grams(trusted, text), "grams")]
+    if levels[0].isEmpty():
+        return None
+    for n in range(ORDER - 1, 0, -1):
+        # What counts in a lower order is how many different characters stand before.
+        levels.append(staged(levels[-1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n")), "grams"))
+    found = []
+    lower, base = None, 0
+    for n, level in enumerate(reversed(levels), 1):
+        d = discounts_of(*level.agg(*[F.count_if(F.col("n") == i).alias(str(i)) for i in (1, 2, 3, 4)]).first())
+        cut = F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).otherwise(d[0])
+        # Whole numbers of grams with each discount: the sum doesn't depend on their order.
+        freed = sum((F.count_if(F.col("n") == i) if i < 3 else F.count_if(F.col("n") >= 3)) * F.lit(d[i - 1]) for i in (1, 2, 3))
+        if n == 1:
+            total, left = level.agg(F.sum("n"), freed).first()
+            base = round(float(np.log(left / total / CODE_POINTS)) * UNIT)
+            p = (F.col("n") - cut) / total + left / total / CODE_POINTS
+            lower = staged(level.select("gram", p.alias("p")), "p")
+            found.append(lower.select("gram", (_log("p") - base).alias("v")))
+            continue
+        context = F.substring("gram", 1, n - 1)
+        of = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), freed.alias("left")).select("context", "total", (F.col("left") / F.col("total")).alias("gamma"))
+        of = staged(of, "contexts")
+        met = level.withColumn("cut", cut).join(of, context == F.col("context")).join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("p0")), F.substring("gram", 2, n - 1) == F.col("rest"))
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p0")
+        lower = staged(met.select("gram", p.alias("p"), _log(p / F.col("gamma") / F.col("p0")).alias("v")), "p")
+        found += [lower.select("gram", "v"), of.select(F.col("context").alias("gram"), _log("gamma").alias("v"))]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+
+    def keyed(grams: pa.Array) -> pa.Array:
+        return pa.array([int(keys_of(codes_of(g), len(g))[0].view(np.int64)) for g in grams.to_pylist()], pa.int64())
+
+    keyed.__annotations__ = {"grams": pa.Array, "return": pa.Array}
+    every = every.groupBy("gram").agg(F.sum("v").cast("int").alias("v"))
+    return Model(staged(every.select(F.arrow_udf(keyed, "long")("gram").alias("g"), "v"), "values"), base)
+
+
+class Model:
+    """values: g long (key of a gram), v int (log, in UNITs); base: what any character has without them."""
+
+    def __init__(self, values: DataFrame, base: int):
+        self.values, self.base = values, base
+
+    def scores(self, texts: DataFrame, text: str = "text", slices: int = 4) -> DataFrame:
+        """k long (xxhash64 of the text), perplexity double (a character), of the texts that have characters."""
+        rows = texts.where(F.length(text) > 0).select(F.xxhash64(text).alias("k"), F.col(text).alias("t"))
+        size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+        chunks = max(1, -(-size // (slices * CHUNK)))
+        got = None
+        for i in range(slices):
+            mine = rows.where(F.pmod("k", F.lit(slices)) == i).withColumn("chunk", F.pmod(F.floor(F.col("k") / slices), F.lit(chunks)).cast("int"))
+            done = staged(self._scored(once_a_task(mine).repartition(chunks, "chunk")), "perplexity")
+            got = done if got is None else got.union(done)
+            # What this slice shuffled is deleted when the JVM notices that nothing refers to it.
+            texts.sparkSession._jvm.System.gc()
+        return got
+
+    def _scored(self, dealt: DataFrame) -> DataFrame:
+        base = self.base
+
+        def asked(batches):
+            held: dict[int, list[np.ndarray]] = {}
+            for b in batches:
+                by: dict[int, list[str]] = {}
+                for t, c in zip(b.column("t").to_pylist(), b.column("chunk").to_pylist()):
+                    by.setdefault(c, []).append(t)
+                for c, texts in by.items():
+                    for block, _ in blocks(texts):
+                        held.setdefault(c, []).append(np.unique(np.concatenate(block.keys())))
+                        if sum(map(len, held[c])) > GATHERED:
+                            held[c] = [np.unique(np.concatenate(held[c]))]
+                            if len(held[c][0]) > GATHERED // 2:
+                                yield from handed(c, held.pop(c)[0])
+            for c, parts in held.items():
+                yield from handed(c, np.unique(np.concatenate([*parts, edge_keys()])))
+
+        def handed(c, keys):
+            for i in range(0, len(keys), 50_000):
+                part = keys[i : i + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), c, np.int32))], ["g", "chunk"])
+
+        def summed(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            g = answers.column("g").to_numpy().view(np.uint64)
+            g, first = np.unique(g, return_index=True)
+            v = np.r_[answers.column("v").to_numpy()[first].astype(np.int64), 0]
+
+            def values(keys: np.ndarray) -> np.ndarray:
+                at = np.searchsorted(g, keys)
+                return v[np.where(g[np.minimum(at, len(g) - 1)] == keys, at, len(g))] if len(g) else np.zeros(len(keys), np.int64)
+
+            edge = int(values(edge_keys()).sum())
+            keys, logs, seen = [], [], set()
+            for b in texts.to_batches(max_chunksize=512):
+                own, whole = [], []
+                for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist()):
+                    if k not in seen:
+                        seen.add(k)
+                        own.append(k)
+                        whole.append(t)
+                total = np.zeros(len(whole), np.int64)
+                for block, of in blocks(whole):
+                    np.add.at(total, of, block.sums(len(of), values))
+                n = np.array([len(t) + 1 for t in whole], np.int64)
+                keys += own
+                logs.append((total + edge + base * n) / (n * float(UNIT)) if len(n) else np.zeros(0))
+            return pa.table({"k": pa.array(keys, pa.int64()), "perplexity": np.exp(-np.concatenate(logs)) if logs else pa.array([], pa.float64())})
+
+        asked_for = text_batches(dealt, asked, "g long, chunk int")
+        answers = asked_for.join(self.values, "g").select("g", "chunk", "v")
+        return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, "k long, perplexity double")
+
+
+def once_a_task(rows: DataFrame) -> DataFrame:
+    """rows (k, t, chunk) without those whose k the task had before: copies, of which there may be very many."""
 
+    def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            for t in b.column("t").to_pylist():
-                if not t:
-                    continue
-                three, two, one = grams(TOKEN.findall(t), known)
-                parts.append((three, two[:-1], two[1:], one[:-1], one[1:]))
-                size += len(three)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if size >= CHUNK:
-                    yield from counted()
-                    parts, size = [], 0
-        if parts:
-            yield from counted()
-
-    each = text_batches(texts.select(F.col(text).alias("t")), run, ", ".join(f"{x} long" for x in names) + ", n long")
-    return each.groupBy("abc").agg(*[F.first(x).alias(x) for x in names[1:]], F.sum("n").alias("n"))
-
-
-class WordModel:
-    """values: g long (key), v long (log, in UNITs); spelling: the table and shares for Spelling; new: the log (in UNITs) that a token isn't among the known."""
-
-    def __init__(self, values: DataFrame, table: np.ndarray, shares: dict[int, float], new: int):
-        self.values, self.new = values, new
-        self.sent = values.sparkSession.sparkContext.broadcast((table, shares))
-
-    def scores(self, texts: DataFrame, text: str = "text") -> DataFrame:
-        """k long (xxhash64 of the text), perplexity double (a character), of the texts that have characters."""
-        sent, new = self.sent, self.new
-        pair = pa.struct([("k", pa.int64()), ("n", pa.int64())])
-
-        def run(batches):
-            known, spelled = Hashes(), Spelling(*sent.value)
-            parts, size, keys, base, chars = [], 0, [], [], []
-
-            def handed():
-                k, which = np.array(keys, np.int64), np.concatenate([np.full(sum(map(len, x)), i, np.int32) for i, x in enumerate(parts)])
-                g = np.concatenate([y for x in parts for y in x])
-                order = np.argsort(g, kind="stable")
-                g, which = g[order], which[order]
-                first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (which[1:] != which[:-1])])
-                n = np.diff(np.r_[first, len(g)])
-                g, which = g[first], which[first]
-                starts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
-                for i in range(0, len(starts) - 1, 50_000):
-                    cut = starts[i : i + 50_001]
-                    a, z = cut[0], cut[-1]
-                    pairs = pa.StructArray.from_arrays([pa.array(k[which[a:z]]), pa.array(n[a:z], pa.int64())], fields=list(pair))
-                    yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), pa.array(np.zeros(len(cut) - 1, np.int32)), pa.ListArray.from_arrays(pa.array(cut - a, pa.int32()), pairs)], ["g", "x", "d"])
-                # Base logs and lengths have keys of no gram, so the join leaves them alone.
-                own = mixed(9, k[:1])[0]
-                both = [[{"k": a, "n": b} for a, b in zip(keys, x)] for x in (base, chars)]
-                yield pa.RecordBatch.from_arrays([pa.array([own, own], pa.int64()), pa.array([1, 2], pa.int32()), pa.array(both, pa.list_(pair))], ["g", "x", "d"])
+            new = [i for i, k in enumerate(b.column("k").to_pylist()) if not (k in seen or seen.add(k))]
+            if len(seen) > GATHERED:
+                seen.clear()
+            yield b.take(pa.array(new, pa.int32()))
+
+    return text_batches(rows, run, rows.schema)
 
-            for b in batches:
-                for t, k in zip(b.column("t").to_pylist(), b.column("k").to_pylist()):
-                    if not t:
-                        continue
-                    tokens = TOKEN.findall(t)
-                    parts.append(grams(tokens, known))
-                    keys.append(k)
-                    base.append(sum(map(spelled.__getitem__, tokens)) + spelled[""] + new * (len(tokens) + 1))
-                    chars.append(len(t) + 1)
-                    size += len(tokens)
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                        spelled.clear()
-                    if size >= CHUNK:
-                        yield from handed()
-                        parts, size, keys, base, chars = [], 0, [], [], []
-            if parts:
-                yield from handed()
-
-        each = text_batches(texts.select(F.col(text).alias("t"), F.xxhash64(text).alias("k")), run, "g long, x int, d array<struct<k: long, n: long>>")
-        met = each.join(self.values, "g", "left").where("x > 0 OR v IS NOT NULL").selectExpr("x", "v", "inline(d)")
-        sums = met.groupBy("k").agg(F.expr("sum(CASE x WHEN 0 THEN n * v WHEN 1 THEN n END)").alias("s"), F.expr("sum(IF(x = 2, n, 0))").alias("c"))
-        return sums.select("k", F.exp(-F.col("s") / F.col("c") / F.lit(float(UNIT))).alias("perplexity"))
-
-
-def train_words(trusted: DataFrame, text: str = "text") -> WordModel | None:
-    """The model of all texts of trusted; None without any. The driver gets the spelling model's counts alone."""
-    spark = trusted.sparkSession
-    words = staged(vocabulary(trusted, text), "vocabulary")
-    spelling = count_trigrams(words, "token").toArrow()
-    if not spelling.num_rows:
-        return None
-    table = log_probabilities(spelling["gram"].to_numpy(), spelling["n"].to_numpy())
-    shares = character_shares(spark, words.select(F.explode(F.split("token", "")).alias("c")).where("ascii(c) >= 128").groupBy(F.expr("ascii(c)").alias("c")).agg(F.count("*").alias("n")))
-    sent = spark.sparkContext.broadcast((table, shares))
-
-    def keyed(tokens: pa.Array) -> pa.Array:
-        known, spelled, all_ = Hashes(), Spelling(*sent.value), tokens.to_pylist()
-        g = mixed(1, np.fromiter(map(known.__getitem__, all_), np.int64, len(all_)))
-        return pa.StructArray.from_arrays([pa.array(g), pa.array([spelled[t] for t in all_], pa.int64())], ["c", "p0"])
-
-    keyed.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
-    spelled = words.select(F.arrow_udf(keyed, "struct<c: long, p0: long>")("token").alias("x")).select("x.*")
-
-    def discounted(df: DataFrame, n: str) -> DataFrame:
-        """With cut, the discount of each count."""
-        often = df.agg(*[F.count_if(F.col(n) == i).alias(str(i)) for i in (1, 2, 3, 4)]).first()
-        d1, d2, d3 = discounts_of(*often)
-        return df.withColumn("cut", F.when(F.col(n) >= 3, d3).when(F.col(n) == 2, d2).otherwise(d1))
-
-    def freed(df: DataFrame, n: str, context: str) -> DataFrame:
-        # Discounts have three values: sums of how often each occurs are the same in any order.
-        d = df.groupBy(context, "cut").agg(F.sum(n).alias("n"), F.count("*").alias("times")).groupBy(context)
-        d = d.agg(F.sum("n").alias("total"), F.expr("aggregate(array_sort(collect_list(cut * times)), 0D, (a, x) -> a + x)").alias("f"))
-        return d.select(context, "total", (F.col("f") / F.col("total")).alias("gamma"))
-
-    def log(x) -> Column:
-        return F.round(F.log(x) * UNIT).cast("long")
-
-    def small(df: DataFrame) -> DataFrame:
-        return broadcast_if(df, 1_000_000)
-
-    three = discounted(staged(count_words(trusted, text), "trigrams"), "n")
-    two = discounted(staged(three.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), F.count("*").alias("n")), "bigrams"), "n")
-    one = discounted(staged(two.groupBy("c").agg(F.count("*").alias("n")), "unigrams"), "n")
-    whole = one.groupBy("cut").agg(F.sum("n").alias("n"), F.count("*").alias("times")).collect()
-    total = sum(r.n for r in whole)
-    gamma = sum(sorted(r.cut * r.times for r in whole)) / total
-    p0 = F.exp(F.col("p0") / UNIT)
-    one = staged(one.join(spelled, "c").select("c", "p0", ((F.col("n") - F.col("cut")) / total + gamma * p0).alias("p1")), "tokens-p")
-    two_of, three_of = staged(freed(two, "n", "b"), "tokens-gamma"), staged(freed(three, "n", "ab"), "bigrams-gamma")
-    two = two.join(small(two_of), "b").join(small(one), "c").select("bc", "p1", "gamma", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p1")).alias("p2"))
-    two = staged(two, "bigrams-p")
-    three = three.join(three_of, "ab").join(two.select("bc", "p2"), "bc").select("abc", "p2", "gamma", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p2")).alias("p3"))
-    new = round(float(np.log(gamma)) * UNIT)
-    values = [
-        three.select(F.col("abc").alias("g"), log(F.col("p3") / F.col("gamma") / F.col("p2")).alias("v")),
-        two.select("bc", log(F.col("p2") / F.col("gamma") / F.col("p1"))),
-        three_of.select("ab", log("gamma")),
-        one.select("c", log("p1") - new - F.col("p0")),
-        two_of.select("b", log("gamma")),
-    ]
-    every = values[0]
-    for v in values[1:]:
-        every = every.union(v)
-    return WordModel(staged(every.groupBy("g").agg(F.sum("v").alias("v")), "values"), table, shares, new)
-
-
-def held_out_scores(trusted: DataFrame, text: str) -> DataFrame:
-    """k, perplexity of trusted texts, in two halves by hash, each under the model of the other."""
-    halves = [trusted.where(F.pmod(F.xxhash64(text), F.lit(2)) == i) for i in (0, 1)]
-    found = trusted.select(F.xxhash64(text).alias("k"), F.lit(1.0).alias("perplexity")).where("false")
-    for this, other in (halves, halves[::-1]):
-        if (model := train_words(other, text)) is not None:
-            found = found.union(model.scores(this, text))
-    return found
-
-
-def thresholds(own: DataFrame, quantile: float, slack: float, prior: int) -> tuple[DataFrame, tuple[float, float] | None]:
-    """From (lang, n, perplexity) of trusted documents: __lang, __middle (log), __limit (log); and the last two over all."""
-    own = own.withColumn("x", F.log("perplexity"))
-    middle = F.percentile_approx("x", 0.5, ACCURACY)
 
-    def limits(df, keys):
-        m = df.groupBy(*keys).agg(middle.alias("m")).withColumnsRenamed({k: f"__{k}" for k in keys})
-        on = df["lang"].eqNullSafe(m["__lang"]) if keys else F.lit(True)
-        each = df.join(F.broadcast(m), on).withColumn("y", settled(F.col("x"), F.col("n"), F.col("m"), prior))
-        return each.groupBy(*[f"__{k}" for k in keys]).agg(F.first("m").alias("__middle"), F.percentile_approx("y", quantile, ACCURACY).alias("q")).withColumn("__limit", F.col("q") + slack * (F.col("q") - F.col("__middle"))).drop("q")
+def quantiles(df: DataFrame, x: str, shares: dict[str, float]) -> DataFrame:
+    """lang and, by name, the least x (a log; in whole FINEs) that at least such a share of the language's rows don't exceed.
 
-    every = limits(own, []).first()
-    return limits(own, ["lang"]), None if every is None or every["__limit"] is None else (every["__middle"], every["__limit"])
+    Rows are counted by language and x, partly in every task. What is then sorted is one row for each different x of
+    a language, of which there are at most some tens of thousands.
+    """
+    n = df.groupBy("lang", F.round(F.col(x) * FINE).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    n = n.withColumn("below", F.sum("n").over(own.orderBy("x"))).withColumn("all", F.sum("n").over(own))
+    return n.groupBy("lang").agg(*[(F.min(F.when(F.col("below") >= F.col("all") * share, F.col("x"))) / FINE).alias(name) for name, share in shares.items()])
 
 
 def settled(x: Column, n: Column, middle: Column, prior: int) -> Column:
@@ -433,41 +307,57 @@ def settled(x: Column, n: Column, middle: Column, prior: int) -> Column:
     return (x * n + middle * prior) / (n + prior)
 
 
-def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, slack: float = 0.25, prior: int = 20) -> DataFrame:
-    """docs with __perplexity, __threshold (what it may be for a text of that length), __kept.
+def thresholds(own: DataFrame, quantile: float, slack: float, prior: int) -> DataFrame:
+    """lang, middle, least (logs) from (lang, n, perplexity) of trusted documents."""
+    own = own.withColumn("x", F.log("perplexity"))
+    middle = quantiles(own, "x", {"middle": 0.5})
+    of = broadcast_if(staged(middle, "medians").withColumnRenamed("lang", "of"), 5000)
+    near = own.join(of, F.col("lang").eqNullSafe(F.col("of"))).withColumn("y", settled(F.col("x"), F.col("n"), F.col("middle"), prior))
+    high = quantiles(near, "y", {"high": quantile}).withColumnRenamed("lang", "of")
+    both = middle.join(high, F.col("lang").eqNullSafe(F.col("of")))
+    return both.select("lang", "middle", (F.col("high") + slack * (F.col("high") - F.col("middle"))).alias("least"))
+
+
+def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, slack: float = 0.25, prior: int = 20, held: int = 4, slices: int = 4, names: tuple[str, str, str] = ("__perplexity", "__threshold", "__kept")) -> DataFrame:
+    """docs with perplexity, threshold (what it may be for a text of that length) and kept, under `names`.
 
-    trusted_keys: one column, the keys of trusted documents; broadcast if there are at most two million, else joined by
-    a shuffle.
+    trusted_keys: one column, the keys of trusted documents; broadcast if there are at most SMALL, else joined by a
+    shuffle. One trusted text of `held` is held out. Columns of docs that have one of `names` are replaced.
     """
-    keys = trusted_keys.toDF("__trusted").distinct()
-    trusted = docs.join(broadcast_if(keys, 2_000_000), docs[key] == F.col("__trusted"), "left_semi")
-    model = train_words(trusted, text)
-    if model is None:
-        scores = docs.select(F.xxhash64(text).alias("k"), F.lit(1.0).alias("perplexity")).where("false")
-    else:
-        scores = staged(model.scores(docs, text), "perplexity")
-    scores = broadcast_if(scores.withColumnsRenamed({"k": "__text", "perplexity": "__perplexity"}), 2_000_000)
-    own = trusted.select(F.col(lang).alias("lang"), F.length(text).alias("n"), F.xxhash64(text).alias("k")).where("n > 0")
-    own = own.join(scores, F.col("k") == F.col("__text"))
+    columns = [c for c in docs.columns if c not in names]
+    own = {c: f"c{i}" for i, c in enumerate(columns)}
+    docs = docs.select([F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    text, key, lang = own[text], own[key], own[lang]
+    chars = F.length(text)
+    keys = trusted_keys.toDF("trusted").distinct()
+    trusted = docs.select(key, text, lang).join(broadcast_if(keys, SMALL), F.col(key) == F.col("trusted"), "left_semi")
+    apart = F.pmod(F.xxhash64(F.lit(1), text), F.lit(held)) == 0
+    model = train(trusted.where(~apart), text) or train(trusted, text)
+    every, by_lang, scores = None, None, None
     if model is not None:
-        held_out = broadcast_if(staged(held_out_scores(trusted, text), "held-out"), 2_000_000)
-        own = own.join(held_out.toDF("h", "held_out"), F.col("k") == F.col("h"), "left").withColumn("__perplexity", F.coalesce("held_out", "__perplexity"))
-    own = staged(own.select("lang", "n", F.col("__perplexity").alias("perplexity")), "trusted-perplexity")
-    by_lang, every = thresholds(own, quantile, slack, prior)
-    by_lang = staged(by_lang, "perplexity-thresholds")
-    has = F.length(text) > 0
+        scores = broadcast_if(model.scores(docs, text, slices).toDF("k", "perplexity"), SMALL)
+        mine = trusted.where(chars > 0).select(F.col(lang).alias("lang"), chars.alias("n"), F.xxhash64(text).alias("h"), apart.alias("apart"))
+        mine = staged(mine.join(scores, F.col("h") == F.col("k")).select("lang", "n", "perplexity", "apart"), "trusted-perplexity")
+        if not (new := mine.where("apart")).isEmpty():
+            mine = new
+        by_lang = staged(thresholds(mine, quantile, slack, prior), "perplexity-thresholds")
+        every = thresholds(mine.withColumn("lang", F.lit(None).cast("string")), quantile, slack, prior).first()
+    has = chars > 0
+    rows = docs.withColumn("n", chars)
     if model is None:
-        scored = docs.withColumn("__perplexity", F.when(has, F.lit(1.0)))
+        rows = rows.select("*", F.when(has, F.lit(1.0)).alias("perplexity"), F.when(has, F.lit(float("inf"))).alias("threshold"))
     else:
-        scored = docs.join(scores, F.when(has, F.xxhash64(text)) == F.col("__text"), "left").drop("__text")
-    scored = scored.join(broadcast_if(by_lang, 5000), docs[lang].eqNullSafe(F.col("__lang")), "left")
-    middle, limit = every or (0.0, float("inf"))
-    n, m = F.length(text), F.coalesce("__middle", F.lit(middle))
-    least = (F.coalesce("__limit", F.lit(limit)) * (n + prior) - m * prior) / n
-    scored = scored.withColumn("__threshold", F.when(n > 0, F.exp(F.least(least, F.lit(700.0)))))
-    return scored.drop("__lang", "__middle", "__limit").withColumn("__kept", F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.lit(False)))
+        rows = rows.withColumn("h", F.when(has, F.xxhash64(text))).join(scores, F.col("h") == F.col("k"), "left")
+        rows = rows.join(broadcast_if(by_lang.withColumnRenamed("lang", "of"), 5000), F.col(lang).eqNullSafe(F.col("of")), "left")
+        n, middle, least = F.col("n"), F.coalesce("middle", F.lit(every["middle"])), F.coalesce("least", F.lit(every["least"]))
+        rows = rows.withColumn("threshold", F.when(n > 0, F.exp(F.least((least * (n + prior) - middle * prior) / n, F.lit(700.0)))))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
+    return rows.select(*[F.col(x).alias(c) for c, x in own.items()], F.col("perplexity").alias(names[0]), F.col("threshold").alias(names[1]), kept.alias(names[2]))
 
 
 def kept_rows(docs: DataFrame, trusted_keys: DataFrame, **more) -> DataFrame:
     """The rows of docs, all columns, that the classifier keeps."""
-    return classified(docs, trusted_keys, **more).where("__kept").select(*docs.columns)
+    names = [f"__{x}" for x in ("perplexity", "threshold", "kept")]
+    while set(names) & set(docs.columns):
+        names = [f"_{x}" for x in names]
+    return classified(docs, trusted_keys, names=tuple(names), **more).where(F.col(names[2])).select([F.col(f"`{c}`") for c in docs.columns])
