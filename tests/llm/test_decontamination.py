@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +12,8 @@ from wirespark.llm import decontamination as D
 
 from .conftest import EDGES, prose, table
 
-ITEMS = [(1, " ".join(prose(1, 300).split()[40:70])), (2, "ONE two"), (3, prose(99, 20)), (4, None), (5, "?!"), (6, " ".join(prose(7, 60_000).split()[-12:])), (7, " ".join(prose(1, 300).split()[60:80])), (7, "one"), (None, "word word word word word word word word")]
+#: The last ones: a null id and an item of that name.
+ITEMS = [(1, " ".join(prose(1, 300).split()[40:70])), (2, "ONE two"), (3, prose(99, 20)), (4, None), (5, "?!"), (6, " ".join(prose(7, 60_000).split()[-12:])), (7, " ".join(prose(1, 300).split()[60:80])), (7, "one"), (None, "word word word word word word word word"), (None, "two")]
 
 
 def words(t):
@@ -27,9 +31,9 @@ def brute(rows, items, window=8):
             for j in range(len(w) - n + 1):
                 if grams and tuple(w[j : j + n]) in grams:
                     hit |= set(range(j, j + n))
-                    found.add("null" if i is None else str(i))
-        ids = sorted(found)
-        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(ids) >= 2))
+                    found.add(i)
+        ids = sorted(str(i) for i in found if i is not None)
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(found) >= 2))
     return sorted(out, key=str)
 
 
@@ -92,7 +96,7 @@ def test_longest_matches_and_places(spark, edges, benchmark, monkeypatch):
                 for p in range(len(w)):
                     n = next((n for n in range(len(q) - at + 1) if n == len(q) - at or p + n == len(w) or w[p + n] != q[at + n]), 0) if w[p] == q[at] else 0
                     if n >= min(8, len(q)):
-                        k = "null" if i is None else str(i), at
+                        k = None if i is None else str(i), at
                         want[k] = max(want.get(k, 0), n)
     assert {k: v[0] for k, v in got.items()} == want
     texts = {}
@@ -100,6 +104,44 @@ def test_longest_matches_and_places(spark, edges, benchmark, monkeypatch):
         texts.setdefault(d, []).append(words(t))
     items = {}
     for i, x in ITEMS:
-        items.setdefault("null" if i is None else str(i), []).append(words(x))
+        items.setdefault(None if i is None else str(i), []).append(words(x))
     for (i, at), (n, d, p) in got.items():
         assert any(w[p : p + n] == q[at : at + n] for w in texts[d] for q in items[i])
+
+
+REPEATED = """
+import resource, sys
+import numpy as np
+from wirespark.llm import decontamination as D
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if sys.argv[1] == "word":
+    items, docs = [("a", [b"w"] * 100_000), ("b", [b"w"] * 9)], [[b"w"] * 100_000, [b"w"] * 7]
+else:
+    phrase = [b"p%d" % i for i in range(8)]
+    items = [(str(k), phrase + [b"x%d" % k]) for k in range(10_000)]
+    docs = [phrase + [b"y%d" % k] for k in range(50_000)]
+q = D.Queries(items, 8)
+got = D.scan_shard(q, D.numbered(q, docs))
+if sys.argv[1] == "word":
+    assert [len(p) for p, _ in got] == [100_000, 0] and q.items_of(got[0][1]) == [0, 1]
+    length, _ = D.Shard(D.runs(q, D.numbered(q, docs))[0]).longest(q)
+    assert length[:100_000].tolist() == list(range(100_000, 0, -1))
+else:
+    assert all(len(p) == 8 for p, _ in got) and q.items_of(got[-1][1]) == list(range(10_000))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["word", "phrase"])
+def test_repetition_takes_little_memory(kind):
+    out = subprocess.run([sys.executable, "-c", REPEATED, kind], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500
+
+
+def test_shared_phrase_over_rows(spark):
+    phrase = "a b c d e f g h"
+    docs = table(spark, [(i, f"{phrase} {i}", "en", "s") for i in range(300)])
+    items = spark.createDataFrame([(i, f"{phrase} x{i}") for i in range(2000)], "item_id long, text string")
+    got = D.digest(D.scan(docs, items, block_words=7000)).collect()
+    assert len(got) == 300 and {(r.n_hit, r.n_items, r.contaminated) for r in got} == {(8, 2000, True)}

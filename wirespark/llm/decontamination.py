@@ -2,22 +2,26 @@
 
 A shard is the words of some training documents, as numbers of the benchmark's vocabulary. A word outside it cannot be
 part of a match, so only runs of known words are kept, each ended by a separator. The shard's suffix array is sorted
-by prefix doubling; every suffix of every benchmark item is binary-searched in it, all at once, which gives its longest
-verbatim match and where that lies, and the range of suffixes that begin with its window.
+by prefix doubling; the benchmark's suffixes are binary-searched in it, all at once. Suffixes that begin with the same
+window are one query, so the ranges of suffixes found for windows of one length are disjoint, and what is kept of a
+shard is never more than its words, however often a text or a benchmark repeats itself.
 
 Window: `window` consecutive words of an item; an item with fewer words, but at least one, is one window. A document's
 word inside any occurrence of a window is hit.
 
-The benchmark is the stated query set: it is sent to the workers in blocks of bounded size (`block_words`), one pass
-over the documents' rows for each block, chained so that the texts are read once.
+The benchmark is the stated query set: it is sent to the workers in blocks of bounded size (`block_words`). A worker
+reads each text once and takes block after block for a shard, with one block in memory at a time.
 
 Defined results: a null or wordless text has no words, no hits and no items; a null or wordless item matches nothing;
-repeated items with one id count once; an item id that is null counts as the string `null`; repeated documents are
-judged alike, row by row; empty tables are fine. Other columns are ignored by `scan`, and all kept by `decontaminated`.
+repeated items with one id count once; a null item id is an id of its own, which counts as an item and adds nothing to
+the list of names; repeated documents are judged alike, row by row; empty tables are fine. Other columns are ignored by
+`scan`, and all kept by `decontaminated`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +33,8 @@ from .common import text_batches
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words of a shard, at least; one document may be longer.
 SHARD_WORDS = 1 << 20
+#: Item ids in an output batch, at least.
+MOST_IDS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,7 +44,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Queries:
     """The suffixes of a block of items. Item words are numbered from 1; 0 separates."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         for _, ws in items:
             for w in ws:
@@ -51,10 +57,50 @@ class Queries:
         self.ids = [i for i, _ in items]
         self.words, self.item = np.array(flat, np.int64), np.array(item, np.int64)
         self.left = np.array(left, np.int64)  # words from here to the item's end
+        self.begin = np.flatnonzero(np.r_[True, self.item[1:] != self.item[:-1]]) if len(items) else self.item
         size = np.array([len(ws) for _, ws in items], np.int64)
         self.need = np.minimum(window, size)[self.item] if len(items) else self.left
         self.suffixes = np.flatnonzero(self.left > 0)
         self.shortest = int(self.need[self.suffixes].min()) if len(self.suffixes) else window
+        self._windows(window)
+
+    def _windows(self, window: int) -> None:
+        """windows: a suffix for each different window; items_of[k]: the numbers of the items that have the k-th."""
+        at = self.suffixes[self.left[self.suffixes] >= self.need[self.suffixes]]
+        rank = np.zeros(len(at), np.int64)
+        for i in range(-1, window):
+            # Windows alike so far, told apart by their length first, then by one more word.
+            word = self.need[at] if i < 0 else np.where(i < self.need[at], self.words[np.minimum(at + i, len(self.words) - 1)], 0)
+            _, rank = np.unique(rank * (len(self.vocabulary) + window + 1) + word, return_inverse=True)
+        _, first = np.unique(rank, return_index=True)
+        self.windows = at[first]
+        pairs = np.unique(rank * max(1, len(self.ids)) + self.item[at])
+        which, item = np.divmod(pairs, max(1, len(self.ids)))
+        self.items_at, self.items = np.searchsorted(which, np.arange(len(first) + 1)), item
+
+    def items_of(self, windows: np.ndarray) -> list[int]:
+        parts = [self.items[self.items_at[w] : self.items_at[w + 1]] for w in windows]
+        return np.unique(np.concatenate(parts)).tolist()
+
+
+class Prefixes:
+    """Hashes of all prefixes of some words, by which equal stretches of any length are told at once."""
+
+    PRIMES = (2147483629, 2147483587)
+    BASES = (1103515245, 1664525027)
+
+    def __init__(self, words: np.ndarray, most: int):
+        self.most, self.power, self.sums = most, [], []
+        for prime, base in zip(self.PRIMES, self.BASES):
+            power = np.ones(1, np.uint64)
+            while len(power) < most + 1:
+                step = np.uint64(pow(base, len(power), prime))
+                power = np.concatenate([power, power * step % np.uint64(prime)])
+            self.power.append(power)
+            self.sums.append(np.r_[np.zeros(1, np.uint64), np.cumsum(words.astype(np.uint64) * power[: len(words)] % np.uint64(prime))])
+
+    def hashes(self, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        return [(s[at + n] - s[at]) % np.uint64(p) * w[self.most - at] % np.uint64(p) for s, w, p in zip(self.sums, self.power, self.PRIMES)]
 
 
 def suffix_array(words: np.ndarray) -> np.ndarray:
@@ -82,16 +128,33 @@ class Shard:
     def __init__(self, words: np.ndarray):
         """words: ends with a separator."""
         self.words, self.order = words, suffix_array(words)
+        self._hashed: tuple[Prefixes, Prefixes] | None = None
 
     def common(self, q: Queries, at: np.ndarray, rows: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Words that the query suffixes at and the shard's suffixes rows have in common, up to most."""
+        """Words that the query suffixes at and the shard's suffixes rows have in common, up to most.
+
+        A few are compared one by one; how far longer ones go on is found by halving, with hashes of 62 bits.
+        """
         n = np.zeros(len(at), np.int64)
         live = np.flatnonzero(most > 0)
-        while len(live):
+        for _ in range(16):
             a, b = at[live] + n[live], rows[live] + n[live]
             live = live[(q.words[a] == self.words[b]) & (q.words[a] != 0)]
             n[live] += 1
             live = live[n[live] < most[live]]
+            if not len(live):
+                return n
+        if self._hashed is None:
+            size = max(len(q.words), len(self.words))
+            self._hashed = Prefixes(q.words, size), Prefixes(self.words, size)
+        mine, own = self._hashed
+        a, b = at[live], rows[live]
+        low, high = n[live], np.minimum(most[live], len(self.words) - b)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = np.all([x == y for x, y in zip(mine.hashes(a, mid), own.hashes(b, mid))], axis=0)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        n[live] = low
         return n
 
     def bound(self, q: Queries, at: np.ndarray, most: np.ndarray, right: bool) -> np.ndarray:
@@ -118,16 +181,13 @@ class Shard:
         a, b = self.common(q, at, above, most), self.common(q, at, below, most)
         return np.maximum(a, b), np.where(a > b, above, below)
 
-    def matches(self, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences of windows: place in the shard, words, item."""
-        length, _ = self.longest(q)
-        found = q.suffixes[length >= q.need[q.suffixes]]
-        found = found[q.left[found] >= q.need[found]]
-        need = q.need[found]
-        lo, hi = self.bound(q, found, need, False), self.bound(q, found, need, True)
-        n = hi - lo
-        rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.order[rows], np.repeat(need, n), np.repeat(q.item[found], n)
+    def ranges(self, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows that occur (numbers), and from where to where in the suffix array those that begin with each lie."""
+        at, need = q.windows, q.need[q.windows]
+        low = self.bound(q, at, need, False)
+        there = np.flatnonzero(low < len(self.order))
+        found = there[self.common(q, at[there], self.order[low[there]], need[there]) == need[there]]
+        return found, low[found], self.bound(q, at[found], need[found], True)
 
 
 def runs(q: Queries, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -147,24 +207,34 @@ def runs(q: Queries, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return (np.concatenate(parts).astype(np.int64), np.concatenate(place), np.concatenate(doc)) if parts else None
 
 
-def scan_shard(q: Queries, docs: list[np.ndarray]) -> list[tuple[np.ndarray, list[int]]]:
-    """For each document (numbers of its words): places of hit words, and the items found."""
-    out: list[tuple[np.ndarray, list[int]]] = [(np.zeros(0, np.int64), [])] * len(docs)
+def scan_shard(q: Queries, docs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each document (numbers of its words): places of hit words, and the windows found."""
+    nothing = np.zeros(0, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(nothing, nothing)] * len(docs)
     if (found := runs(q, docs)) is None:
         return out
     words, place, doc = found
-    at, need, item = Shard(words).matches(q)
-    if not len(at):
+    shard = Shard(words)
+    windows, low, high = shard.ranges(q)
+    if not len(windows):
         return out
     # Hit words: the union of intervals, by counting where they open and close.
-    steps = np.zeros(len(words) + 1, np.int64)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + need, -1)
+    steps, pairs = np.zeros(len(words) + 1, np.int64), []
+    need = q.need[q.windows[windows]]
+    for length in np.unique(need):
+        # Ranges of windows of one length don't overlap: no more rows than the shard has words.
+        mine = np.flatnonzero(need == length)
+        n = high[mine] - low[mine]
+        rows = np.repeat(low[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = shard.order[rows]
+        steps[: len(words)] += np.bincount(at, minlength=len(words))
+        steps += np.bincount(at + length, minlength=len(steps))[: len(steps)] * -1
+        pairs.append(np.unique(doc[at] * len(q.windows) + np.repeat(windows[mine], n)))
     hit = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-    pairs = np.unique(doc[at] * len(q.ids) + item)
+    of, window = np.divmod(np.sort(np.concatenate(pairs)), len(q.windows))
     hit_doc = doc[hit]
-    for k in np.unique(doc[at]):
-        out[k] = place[hit[np.searchsorted(hit_doc, k) : np.searchsorted(hit_doc, k, "right")]], [int(p % len(q.ids)) for p in pairs[np.searchsorted(pairs, k * len(q.ids)) : np.searchsorted(pairs, (k + 1) * len(q.ids))]]
+    for k in np.unique(of):
+        out[k] = place[hit[np.searchsorted(hit_doc, k) : np.searchsorted(hit_doc, k, "right")]], window[np.searchsorted(of, k) : np.searchsorted(of, k, "right")]
     return out
 
 
@@ -173,7 +243,7 @@ def item_blocks(benchmark: DataFrame, text: str, key: str, block_words: int):
     block, size = [], 0
     for r in benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
         if ws := words_of(r["t"]):
-            block.append(("null" if r["k"] is None else r["k"], ws))
+            block.append((r["k"], ws))
             size += len(ws)
             if size >= block_words:
                 yield block
@@ -190,12 +260,16 @@ def scanned_rows(docs: DataFrame, benchmark: DataFrame, text: str, item_text: st
     types = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)]
     kinds = ", ".join([*types, "n_words bigint", "hits array<int>", "items array<string>"])
     out = docs.toDF(*names).select(*names, F.lit(None).cast("bigint").alias("n_words"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    blocks = 0
-    for block in item_blocks(benchmark, item_text, item_key, block_words):
-        sent = spark.sparkContext.broadcast(Queries(block, window))
-        out = text_batches(out, lambda batches, sent=sent: _found(batches, sent.value, at), kinds)
-        blocks += 1
-    return out if blocks else text_batches(out, lambda batches: _found(batches, Queries([], window), at), kinds)
+    sent = [spark.sparkContext.broadcast(Queries(block, window)) for block in item_blocks(benchmark, item_text, item_key, block_words)]
+    return text_batches(out, lambda batches: _found(batches, sent, at), kinds)
+
+
+def one_at_a_time(sent: list) -> Iterator[Queries]:
+    """The blocks; a worker doesn't keep one when it takes the next, unless there is but one."""
+    for s in sent:
+        yield s.value
+        if len(sent) > 1:
+            s.__dict__.pop("_value", None)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 8, block_words: int = 500_000) -> DataFrame:
@@ -204,15 +278,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     return rows.select(F.col("c0").alias(key), "n_words", "hits", "items")
 
 
-def shards(batches, q: Queries, at: str):
-    """Batches and the numbers of their documents' words, gathered to shards of SHARD_WORDS or a little more."""
-    get = q.vocabulary.get
+def shards(batches, at: str):
+    """Batches and their documents' words, gathered to shards of SHARD_WORDS or a little more."""
     held, docs, size = [], [], 0
     for b in batches:
         for t in b.column(at).to_pylist():
-            ws = words_of(t)
-            docs.append(np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)))
-            size += len(ws)
+            docs.append(words_of(t))
+            size += len(docs[-1])
         held.append(b)
         if size >= SHARD_WORDS:
             yield held, docs
@@ -221,19 +293,41 @@ def shards(batches, q: Queries, at: str):
         yield held, docs
 
 
-def _found(batches, q: Queries, at: str):
-    for held, docs in shards(batches, q, at):
-        found = iter(zip(docs, scan_shard(q, docs)))
-        for b in held:
-            hits, items, sizes = b.column("hits").to_pylist(), b.column("items").to_pylist(), []
-            for i in range(b.num_rows):
-                ids, (places, numbers) = next(found)
-                sizes.append(len(ids))
+def numbered(q: Queries, docs: list[list[bytes]]) -> list[np.ndarray]:
+    get = q.vocabulary.get
+    return [np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)) for ws in docs]
+
+
+def in_order(ids: set) -> tuple:
+    return tuple(sorted(ids, key=lambda i: (i is None, i)))
+
+
+def _found(batches, sent: list, at: str):
+    for held, docs in shards(batches, at):
+        hits: list = [None] * len(docs)
+        items: list = [()] * len(docs)
+        for q in one_at_a_time(sent):
+            same: dict[bytes, tuple] = {}
+            for k, (places, windows) in enumerate(scan_shard(q, numbered(q, docs))):
                 if len(places):
-                    hits[i] = np.union1d(places, hits[i] or []).astype(np.int32)
-                    items[i] = sorted({*(items[i] or []), *(q.ids[n] for n in numbers)})
-            own = [b.column(i) for i in range(b.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+                    hits[k] = places.astype(np.int32) if hits[k] is None else np.union1d(places, hits[k]).astype(np.int32)
+                    # Documents with the same windows share one tuple of ids.
+                    if (ids := same.get(key := windows.tobytes())) is None:
+                        ids = same[key] = in_order({q.ids[i] for i in q.items_of(windows)})
+                    items[k] = ids if not items[k] else in_order({*items[k], *ids})
+        done = 0
+        for b in held:
+            first = 0
+            while first < b.num_rows:
+                last, size = first, 0
+                while last < b.num_rows and size < MOST_IDS:
+                    size += len(items[done + last])
+                    last += 1
+                part, mine = b.slice(first, last - first), slice(done + first, done + last)
+                own = [part.column(i) for i in range(b.num_columns - 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(list(map(len, docs[mine])), pa.int64()), pa.array(hits[mine], pa.list_(pa.int32())), pa.array([x or None for x in items[mine]], pa.list_(pa.string()))], b.schema.names)
+                first = last
+            done += b.num_rows
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 8, block_words: int = 500_000) -> DataFrame:
@@ -245,24 +339,22 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = spark.createDataFrame([], f"item string, at int, words int, k {kind}, place int")
-    for block in item_blocks(benchmark, item_text, item_key, block_words):
-        sent = spark.sparkContext.broadcast(Queries(block, window))
-
-        def run(batches, sent=sent):
-            q = sent.value
-            for keys, docs in shards(batches, q, "t"):
-                if (found := runs(q, docs)) is None:
+    sent = [spark.sparkContext.broadcast(Queries(block, window)) for block in item_blocks(benchmark, item_text, item_key, block_words)]
+
+    def run(batches):
+        for held, docs in shards(batches, "t"):
+            keys = pa.concat_arrays([b.column("k") for b in held])
+            for q in one_at_a_time(sent):
+                if (found := runs(q, numbered(q, docs))) is None:
                     continue
                 words, place, doc = found
                 length, where = Shard(words).longest(q)
                 hit = np.flatnonzero(length >= q.need[q.suffixes])
                 s = q.suffixes[hit]
-                begin = np.array([np.flatnonzero(q.item == i)[0] for i in range(len(q.ids))])
-                who = pa.concat_arrays([b.column("k") for b in keys]).take(pa.array(doc[where[hit]]))
-                yield pa.RecordBatch.from_arrays([pa.array([q.ids[i] for i in q.item[s]], pa.string()), pa.array((s - begin[q.item[s]]).astype(np.int32)), pa.array(length[hit].astype(np.int32)), who, pa.array(place[where[hit]].astype(np.int32))], ["item", "at", "words", "k", "place"])
+                who = keys.take(pa.array(doc[where[hit]]))
+                yield pa.RecordBatch.from_arrays([pa.array([q.ids[i] for i in q.item[s]], pa.string()), pa.array((s - q.begin[q.item[s]]).astype(np.int32)), pa.array(length[hit].astype(np.int32)), who, pa.array(place[where[hit]].astype(np.int32))], ["item", "at", "words", "k", "place"])
 
-        out = out.union(text_batches(rows, run, f"item string, at int, words int, k {kind}, place int"))
+    out = text_batches(rows, run, f"item string, at int, words int, k {kind}, place int")
     best = out.groupBy("item", "at").agg(F.min(F.struct((-F.col("words")).alias("w"), "k", "place")).alias("m"))
     return best.select("item", "at", (-F.col("m.w")).alias("words"), F.col("m.k").alias(key), F.col("m.place").alias("place"))
 
