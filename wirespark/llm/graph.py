@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: A node is hot if it has more than this share of all links; so there are at most twice as many hot nodes, a small table.
+HOT = 20_000
+
+
+def relabeled(links: DataFrame, side: str, step: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """links with `name`, the label (step: node, to) of its node at side. Links of hot nodes meet a broadcast table, others a shuffled one."""
+    known = links.join(F.broadcast(hot.select(F.col("node").alias(side), F.col("to").alias("hot"))), side, "left")
+    cold = known.where("hot IS NULL").drop("hot").join(step.select(F.col("node").alias(side), F.col("to").alias(name)), side)
+    return cold.unionByName(known.where("hot IS NOT NULL").withColumnRenamed("hot", name))
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of all nodes in links (a, b).
@@ -19,14 +29,15 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.union(left.select("b", "a")).toDF("node", "other")
-        step = staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("to")), "steps")
+        step = staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("to"), F.count("*").alias("degree")), "steps")
+        hot = step.where(F.col("degree") > left.count() / HOT + 8)
+        step = step.select("node", "to")
         if labels is None:
             labels = step.withColumnRenamed("to", "component")
         else:
             hop = step.select(F.col("node").alias("component"), "to")
             labels = staged(labels.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        one = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        two = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = left.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        moved = relabeled(relabeled(left, "a", step, hot, "x"), "b", step, hot, "y")
+        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = staged(moved.distinct(), "links")
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")

@@ -1,6 +1,6 @@
 """Size-aware heavy-light join: documents whose sets of word shingles have a Jaccard similarity of num / den or more.
 
-Documents with equal sets are one class, represented by its smallest key. Classes are split by size at a boundary:
+Documents with equal sets are one class, which gets a number. Classes are split by size at a boundary:
 
 * small sets enumerate subsets of a fixed size: two sets of sizes a and b are similar if they have
   t(a, b) = ceil(num (a + b) / (num + den)) elements in common, so each emits, for every partner size, its subsets of
@@ -13,33 +13,35 @@ The boundary is where the subsets emitted begin to cost more than list entries a
 
 A group of n similar classes is not compared pair by pair. The first round compares each member with one pivot, that
 with which it shares most lists, and joins what is similar to components. Two more rounds, over lists of up to 32 members
-and then over longer ones, compare only members of a list that are in different components by then, and only those whose
-places in the list's sets let them have enough in common. So every pair that could connect two components is verified.
+and then over longer ones, compare only members of a list that are in different components by then, whose sizes lie in
+the same or neighbouring bands (so a long list is dealt by size too), and only those whose places in the list's sets let
+them have enough in common. So every pair that could connect two components is verified.
 
 Defined results: words are runs of anything but blank and \\t to \\r, A-Z lower-cased. A text with fewer words than a
 shingle is one shingle; a null or wordless one has no set, is linked with nothing and is its own component. Rows with
-one key count as one document: their sets' links are all its links, and each row reports its own set's size. Null keys
-take part as the key they are; with a null key, the component of an otherwise unlinked row is null. Empty tables give
-empty results; other columns are ignored by `similar`, and all kept by `deduplicated`.
+one key count as one document: their sets' links are all its links, and each row reports its own set's size. Rows with
+null keys are documents of their own, which link others like any; they get the smallest key of their component, null if
+it has none. Empty tables give empty results; other columns are ignored by `similar` and kept by `deduplicated`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, discard, staged, text_batches
 from .graph import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BUCKET_BITS, SLICE = 20, 1 << 14
+BUCKET_BITS, SLICE = 20, 1 << 12
 #: Sets up to this size may be small; the boundary is never above it.
 SMALL_MOST = 32
 #: What verifying a list's candidate costs, in list entries.
@@ -101,12 +103,16 @@ def frequencies(docs: DataFrame, text: str, k: int) -> np.ndarray:
             if (at := np.flatnonzero(part)).size:
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["slice", "at", "n"])
 
-    def add(key, table):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One batch at a time: what all tasks counted for a slice is never held at once.
         total = np.zeros(SLICE, np.int64)
-        for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+        for b in batches:
+            for at, n in zip(b.column("at").to_pylist(), b.column("n").to_pylist()):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "n"])
 
+    # The hints are text in this module, and what reads them doesn't look into functions' modules.
+    add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     parts = text_batches(docs.select(F.col(text).alias("t")), count, "slice int, at binary, n binary")
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in parts.groupBy("slice").applyInArrow(add, "slice int, n binary").collect():
@@ -114,6 +120,10 @@ def frequencies(docs: DataFrame, text: str, k: int) -> np.ndarray:
     return out
 
 
+def signature(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -135,7 +145,7 @@ def described(docs: DataFrame, text: str, key: str, k: int, num: int, den: int)
             for t in b.column("t").to_pylist():
                 h = shingles(t, k)
                 n.append(len(h))
-                sig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                sig.append(signature(h))
                 if len(h):
                     # h ascends, so equal frequencies stay in the order of the hashes.
                     order = np.argsort(often[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
@@ -149,7 +159,7 @@ def described(docs: DataFrame, text: str, key: str, k: int, num: int, den: int)
 
 
 def small_links(classes: DataFrame, x: int, num: int, den: int) -> DataFrame:
-    """a, b: links that put each block's members into one component."""
+    """a, b (numbers of classes): links that put each block's members into one component."""
     def subsets(batches):
         for b in batches:
             block, who, size, pair = [], [], [], []
@@ -162,13 +172,14 @@ def small_links(classes: DataFrame, x: int, num: int, den: int) -> DataFrame:
                         who.append(rep)
                         size.append(n)
                         pair.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.binary()), pa.array(who, b.column("rep").type), pa.array(size, pa.int32()), pa.array(pair, pa.int32())], ["block", "rep", "n", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.binary()), pa.array(who, pa.int64()), pa.array(size, pa.int32()), pa.array(pair, pa.int32())], ["block", "rep", "n", "other"])
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    rows = classes.where(f"n BETWEEN 1 AND {x}").select("rep", "n", "small").mapInArrow(subsets, f"block binary, rep {kind}, n int, other int")
-    w = Window.partitionBy("block")
+    rows = classes.where(f"n BETWEEN 1 AND {x}").select("rep", "n", "small").mapInArrow(subsets, "block binary, rep bigint, n int, other int")
+    rows = staged(rows, "blocks")
+    # By partial aggregation and a join that Spark can split, as a block may be one that very many sets emit.
     # A block is for one pair of sizes; if they differ, members of one size are only linked by way of the other's.
-    sides = rows.withColumn("least", F.min("rep").over(w)).withColumn("n1", F.min("n").over(w)).withColumn("n2", F.max("n").over(w))
+    heads = rows.groupBy("block").agg(F.min("rep").alias("least"), F.min("n").alias("n1"), F.max("n").alias("n2"), F.count("*").alias("m")).where("m > 1")
+    sides = rows.join(heads, "block")
     return sides.where("n1 = least(n, other) AND n2 = greatest(n, other) AND rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
 
 
@@ -196,17 +207,30 @@ def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return both.where(F.size(F.array_intersect("pa", "pb")) >= need).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) of classes whose sets are similar; docs: id, t."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = staged(classes.select("rep", "id", "sig").join(broadcast_if(wanted, 1_000_000), "rep", "left_semi"), "candidates")
 
     def make(batches):
+        seen: set[bytes] = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), lists_of([shingles(t, k) for t in b.column("t").to_pylist()])], ["id", "held"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(broadcast_if(wanted, 1_000_000), "id", "left_semi")
-    sets = staged(text_batches(rows, make, f"id {kind}, held array<bigint>"), "sets")
+            sigs, sets = [], []
+            for t in b.column("t").to_pylist():
+                h = shingles(t, k)
+                if (sig := signature(h)) not in seen:  # one of a task's copies will do
+                    seen.add(sig)
+                    sigs.append(sig)
+                    sets.append(h)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), lists_of(sets)], ["sig", "held"])
+
+    rows = docs.join(broadcast_if(wanted.where("id IS NOT NULL").select("id").distinct(), 1_000_000), "id", "left_semi")
+    if not wanted.where("id IS NULL").isEmpty():  # classes of rows without a key: found among all such rows
+        rows = rows.union(docs.where("id IS NULL"))
+    made = text_batches(rows.select("t"), make, "sig binary, held array<bigint>").join(broadcast_if(wanted.select("sig", "rep"), 1_000_000), "sig")
+    sets = staged(made.dropDuplicates(["rep"]).select("rep", "held"), "sets")
     one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x").cast("long") + F.size("y") - both
@@ -215,15 +239,27 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, k: int, num
     return found
 
 
+def one_key_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: links between the classes of rows that share a key."""
+    own = sets.where("n > 0 AND id IS NOT NULL").select("id", "sig")
+    shared = own.groupBy("id").agg(F.min("sig").alias("s1"), F.max("sig").alias("s2")).where("s1 < s2")
+    more = staged(own.join(broadcast_if(staged(shared, "shared-keys"), 500_000), "id").select("s1", "sig").where("s1 < sig").distinct(), "one-key")
+    if more.isEmpty():
+        return more.selectExpr("0L AS a", "0L AS b")
+    of = classes.select("sig", "rep")
+    return more.join(of.toDF("s1", "a"), "s1").join(of.toDF("sig", "b"), "sig").select("a", "b")
+
+
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links) of every row."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     sets = staged(described(docs, "t", "id", k, num, den), "shingle-sets")
-    rows = sets.where("n > 0 AND id IS NOT NULL")
-    classes = staged(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "prefix", "small"), "id").alias("x")).select("sig", "rep", "x.n", "x.prefix", "x.small"), "shingle-classes")
+    alike = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first(F.struct("n", "prefix", "small")).alias("x"))
+    # Numbered once: the table that is written is what all that follows reads.
+    classes = staged(alike.select("sig", "id", "x.n", "x.prefix", "x.small", F.monotonically_increasing_id().alias("rep")), "shingle-classes")
     sizes = {r["n"]: r["c"] for r in classes.where(f"n <= {SMALL_MOST}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     x = boundary(sizes, num, den)
-    links = staged(small_links(classes, x, num, den).select("a", "b"), "links-small")
+    links = staged(small_links(classes, x, num, den).union(one_key_links(sets, classes)).select("a", "b"), "links-small")
 
     entries = classes.where(F.col("n") >= num * (x + 1) // den).select("rep", "n", F.posexplode("prefix").alias("at", "h"))
     # Sizes and pivots of lists by partial aggregation, then a join that Spark can split: a hot list is in no one task.
@@ -238,7 +274,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
     tested = pairs
     # What is still open: first all pairs of different components in short lists, then those in long ones.
     for last in (False, True):
-        links = links.union(verified(pairs, docs, "t", "id", k, num, den))
+        links = links.union(verified(pairs, classes, docs, k, num, den))
         labels = staged(components(links), "components")
         now = lists.select("h", "rep", "n", "at", "m").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
         now = staged(now.drop("component"), "placed-lists")
@@ -246,26 +282,35 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
         lists = staged(now.join(open_lists, "h", "left_semi"), "open-lists")
         discard(now)
         some = lists if last else lists.where(F.col("m") <= SHORT_LIST)
-        left = some.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("c").alias("ca"))
-        met = left.join(some, "h").where("a < rep AND c <> ca").where(F.expr(may_meet("na", "ia", "n", "at", x, num, den))).select("a", F.col("rep").alias("b")).distinct()
+        # A set meets those that are no smaller: in its own size band or the next one, each as wide as sizes may differ.
+        band = F.floor(F.log("n") / float(np.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
+        placed = some.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("c").alias("cb"), band.cast("long").alias("band"))
+        left = placed.select("h", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ib").alias("ia"), F.col("cb").alias("ca"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        met = left.join(placed, ["h", "band"]).where("(na < nb OR na = nb AND a < b) AND ca <> cb").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = staged(plausible(met.join(tested, ["a", "b"], "left_anti"), classes, num, den), "pairs")
         tested = tested.union(pairs)
         lists = lists.drop("c").where(F.col("m") > SHORT_LIST)
     if not pairs.isEmpty():
-        links = links.union(verified(pairs, docs, "t", "id", k, num, den))
+        links = links.union(verified(pairs, classes, docs, k, num, den))
         labels = staged(components(links), "components")
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("c"))
+    joined = classes.select("sig", "id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "id", "component")
+    # Classes by themselves keep their key; the others get the smallest of their component.
+    least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("c"))
+    alone = joined.where("component IS NULL").select("sig", F.col("id").alias("c"))
+    named = joined.where("component IS NOT NULL").join(broadcast_if(staged(least, "smallest"), 1_000_000), "component").select("sig", "c").union(alone).withColumnRenamed("sig", "s")
     out = sets.select("id", "n", "sig").join(named, F.col("sig") == F.col("s"), "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("c")).otherwise(F.col("id"))
+    component = F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **more) -> DataFrame:
     """The rows of docs, all columns, of one document of each component: that with the smallest key (rows of one key are one document).
 
-    Rows without a set are nobody's copies and all stay, as do rows with null keys.
+    Rows without a set are nobody's copies and all stay, as do rows with null keys, which can't be told apart.
     """
-    found = similar(docs, text, key, **more)
-    gone = found.where("n_shingles > 0").groupBy(key).agg(F.min("component_id").alias("c")).where(F.col("c") != F.col(key)).select(F.col(key).alias("__gone"))
-    left = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
-    return left
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select([F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    found = similar(rows, own[text], own[key], **more).toDF("k", "n", "c")
+    gone = found.where("n > 0").groupBy("k").agg(F.min("c").alias("c")).where("c <> k").select(F.col("k").alias("gone"))
+    return rows.join(gone, rows[own[key]] == F.col("gone"), "left_anti").select([F.col(x).alias(c) for c, x in own.items()])
