@@ -4,23 +4,30 @@ A store is a folder: `data/<batch>/*.parquet` are shards, never changed once wri
 the shards that a version consists of. Appending writes a batch of small shards and commits the next version.
 Compaction looks at sizes only: shards of one tier (sizes within a factor of `fanout`) are merged into files of about
 the target size once there are `fanout` of them, then the next version is committed. A commit writes the manifest
-beside its place and renames it there, which fails if that version exists; a lost task or driver leaves at most files
-that no manifest names, and `vacuum` removes those.
+beside its place and renames it there, which fails if that version exists. So the folder must be in a file system whose
+rename is atomic and doesn't overwrite, as HDFS and local ones; plain object stores aren't such. Who loses a race takes
+the winner's version as the base and commits again: an append always can, a merge if its shards are still there.
+
+A lost task or driver leaves at most files that no manifest names. `vacuum` removes shards that only older versions
+name, and files that none names if they are older than `min_age_s`, since a writer that hasn't committed yet may.
 
 Merging reads the tier's shards and coalesces them into as many files as their bytes ask for: no shuffle, and one job
 for each tier, not for each file.
 
 Defined results: nulls, long and repeated rows are stored as they are; an empty arrival commits a version without
-new shards; columns may have any names, but appends to one store must have one schema.
+new shards; columns may have any names, but appends to one store must have one schema; rows are dealt to arrivals by a
+hash of all their simple columns, so repeated rows come together.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +50,7 @@ class ShardStore:
         self._fs_package = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
 
-    # Files, by way of Hadoop's file systems, so that any store that Spark can write will do.
+    # Files, by way of Hadoop's file systems.
     def _path(self, at: str):
         return self._fs_package.Path(at)
 
@@ -92,20 +99,45 @@ class ShardStore:
         options = self.spark.sparkContext._gateway.new_array(self._fs_package.Options.Rename, 0)
         try:
             context.rename(beside, self._path(f"{folder}/{version:010d}.json"), options)
-        except Exception as e:
+        except Py4JJavaError as e:
             self._fs().delete(beside, False)
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise  # not another writer, but a fault of the file system
             raise CommitConflict(f"version {version} exists") from e
         return version
 
+    def _shards(self, folder: str) -> list[Shard]:
+        return [Shard(path, size, self.tier(size)) for path, size in sorted(self._sizes(folder))]
+
     def _write(self, df: DataFrame) -> list[Shard]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
-        return [Shard(path, size, self.tier(size)) for path, size in sorted(self._sizes(folder))]
+        return self._shards(folder)
+
+    def _add(self, shards: list[Shard], schema: str) -> int:
+        while True:
+            now = self.manifest()
+            try:
+                return self.commit(now["version"], now["shards"] + shards, schema)
+            except CommitConflict:
+                continue  # what others committed meanwhile stays
 
     def append(self, df: DataFrame) -> int:
         """Arrivals, as one small shard for each of their partitions."""
-        now = self.manifest()
-        return self.commit(now["version"], now["shards"] + self._write(df), df.schema.json())
+        return self._add(self._write(df), df.schema.json())
+
+    def append_all(self, df: DataFrame, arrivals: int) -> int:
+        """df as so many arrivals, each its own batch and version; written in one pass over df."""
+        simple = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+        by = "arrival"
+        while by in df.columns:
+            by = f"_{by}"
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        which = F.pmod(F.xxhash64(*simple), F.lit(arrivals)) if simple else F.lit(0)
+        df.withColumn(by, which).write.option("compression", "zstd").partitionBy(by).parquet(folder)
+        for i in range(arrivals):
+            version = self._add(self._shards(f"{folder}/{by}={i}"), df.schema.json())
+        return version
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """Tiers to merge: those of files below the target that hold fanout shards or more."""
@@ -123,21 +155,35 @@ class ShardStore:
             files = max(1, round(sum(s.bytes for s in runs) / self.target))
             if files >= len(runs):
                 break
-            merged = self._write(self._load(runs, now["schema"]).coalesce(files))
-            gone = set(runs)
-            version = self.commit(version, [s for s in now["shards"] if s not in gone] + merged, now["schema"])
+            merged, gone = self._write(self._load(runs, now["schema"]).coalesce(files)), set(runs)
+            while True:
+                try:
+                    version = self.commit(now["version"], [s for s in now["shards"] if s not in gone] + merged, now["schema"])
+                    break
+                except CommitConflict:
+                    now = self.manifest()
+                    if not gone <= set(now["shards"]):  # another merged them first; the files made here are left to vacuum
+                        version = now["version"]
+                        break
         return version
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete the shards that none of the last versions names; how many. Readers of older versions lose them."""
+    def vacuum(self, keep_versions: int = 1, min_age_s: float = 86_400) -> int:
+        """Delete shards that older versions name and none of the last ones does, and files of no version older than min_age_s; how many.
+
+        Readers of older versions lose them.
+        """
         last = self.version()
-        named = {s.path for v in range(max(1, last - keep_versions + 1), last + 1) for s in self.manifest(v)["shards"]}
+        named = [{s.path for s in self.manifest(v)["shards"]} for v in range(1, last + 1)]
+        kept = set().union(*named[max(0, last - keep_versions) :])
+        old, oldest = set().union(*named) - kept, (time.time() - min_age_s) * 1000
         data, n = self._path(f"{self.root}/data"), 0
-        for folder in self._fs().listStatus(data) if self._fs().exists(data) else []:
-            for path, _ in self._sizes(folder.getPath().toString()):
-                if path not in named:
-                    self._fs().delete(self._path(path), False)
-                    n += 1
+        found = self._fs().listFiles(data, True) if self._fs().exists(data) else None
+        while found is not None and found.hasNext():
+            status = found.next()
+            path = status.getPath()
+            if path.getName().endswith(".parquet") and path.toString() not in kept and (path.toString() in old or status.getModificationTime() < oldest):
+                self._fs().delete(path, False)
+                n += 1
         return n
 
     def _load(self, shards: list[Shard], schema: str) -> DataFrame:
@@ -153,10 +199,10 @@ class ShardStore:
         return self._load(now["shards"], now["schema"])
 
 
-def sharded(docs: DataFrame, root: str, **options) -> tuple[ShardStore, DataFrame]:
-    """Append docs to a new store, compact it and read it back: the store, and its rows."""
+def sharded(docs: DataFrame, root: str, arrivals: int = 4, **options) -> tuple[ShardStore, DataFrame]:
+    """Append docs to a new store as several arrivals, compact it and read it back: the store, and its rows."""
     store = ShardStore(docs.sparkSession, root, **options)
-    store.append(docs)
+    store.append_all(docs, arrivals)
     store.compact()
     store.vacuum()
     return store, store.read()
