@@ -3,7 +3,7 @@ import numpy as np
 from wirespark.llm import language_id as L
 from wirespark.llm.queries import op1_language_id
 
-from .conftest import EDGES
+from .conftest import EDGES, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,6 +26,20 @@ def test_model_is_sparse_and_repeatable(spark):
     assert (a.weights == 0).mean() > 0.5
 
 
+def test_features_on_the_driver_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda rows: seen.append(rows))
+    rows = [(i % 7, f"{g} abc {i} " * 40 + "xyz" * i, g, "s") for i in range(60) for g in ("en", "de")] + [(1, "same", "en", "s")] * 500
+    L.fit(table(spark, rows))
+    assert len(seen[0]) == 121  # repeated rows once
+    monkeypatch.setattr(L, "MOST_FEATURES", 400)
+    L.fit(table(spark, rows))
+    assert {g for *_, g in seen[1]} == {"en", "de"} and 2 <= sum(len(b) for b, *_ in seen[1]) <= 400
+    monkeypatch.setattr(L, "MOST_FEATURES", 1)
+    L.fit(table(spark, rows))
+    assert sorted(g for *_, g in seen[2]) == ["de", "en"]
+
+
 def test_edges(spark, edges, nothing):
     model = L.fit(edges)
     got = L.predict(edges, model).collect()

@@ -42,7 +42,7 @@ def test_scan_does_not_depend_on_the_chunks(monkeypatch):
 
 def test_tables_are_bounded(monkeypatch, library):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
-    monkeypatch.setattr(token_counts, "MAX_WORDS", 20)
+    monkeypatch.setattr(token_counts, "MAX_BYTES", 4000)
     for t in fuzz(60):
         assert token_counts.count_texts([t], default_path())[1] == [len(library.encode(t, add_special_tokens=False).ids)]
 

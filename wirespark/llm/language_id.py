@@ -6,8 +6,9 @@ Features: letters are lower-cased, anything else is a blank; 1- to 3-grams are h
 bin's value is its relative frequency in the whole text times its inverse document frequency in the training rows.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is any text when nothing could be
-learnt (no row with a text and a language). Rows are independent of one another: repeated rows get equal results,
-an empty table gives an empty one, other columns are ignored and not carried along.
+learnt (no row with a text and a language). Of equally likely languages the first by name is predicted. Rows are
+independent of one another: repeated rows get equal results, an empty table gives an empty one, null keys are keys like
+any, other columns are ignored and not carried along.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import broadcast_if, staged, text_batches
 
 BINS = 1 << 16
 SCALE = 64.0
 #: Rows of a language that are asked for, however many languages there are.
 FEWEST = 50
+#: Features (8 bytes each) that the driver gets for training, over all languages; one row of each comes in any case.
+MOST_FEATURES = 32 << 20
 #: Code points of a text that are looked at together; longer texts take several rounds.
 BLOCK = 1 << 20
 #: Letters beyond this code point don't exist today.
@@ -140,11 +143,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha=0.5, beta=1.0, l
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1000, most_rows: int = 200_000) -> LanguageModel:
-    """Fit on about per_lang rows of each language, chosen by a hash of the key: the documented bound of the sample.
+    """Fit on about per_lang different rows of each language, chosen by a hash of the row: the documented bound of the sample.
 
     Every language is learnt. Where there are so many that most_rows would be passed, each has fewer rows, but FEWEST at
-    least. The driver gets the sampled rows' features (at most
-    BINS bins each), not their texts.
+    least. The driver gets the sampled rows' features, not their texts: in the order of that hash, as many rows of each
+    language as have its share of MOST_FEATURES.
     """
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).where("t IS NOT NULL AND g IS NOT NULL")
     counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
@@ -152,26 +155,34 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         return LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros(0), 1.0)
     share = min(per_lang, max(FEWEST, most_rows // len(counts)))
     rates = labelled.sparkSession.createDataFrame([(g, min(1.0, share / n)) for g, n in counts.items()], "g string, rate double")
-    unit = F.pmod(F.xxhash64("k", "g"), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
 
     def features(batches):
         for b in batches:
-            out = [[], [], [], []]
-            for k, t, g in zip(*(b.column(c).to_pylist() for c in ("k", "t", "g"))):
+            out = [[], [], [], [], []]
+            for h, k, t, g in zip(*(b.column(c).to_pylist() for c in ("h", "k", "t", "g"))):
                 if not ((codes := folded(t)) != 32).any():
                     continue
                 counts = np.zeros(BINS, np.int64)
                 for block in blocks(codes):
                     counts += np.bincount(gram_bins(block), minlength=BINS)
                 bins = np.flatnonzero(counts)
-                for column, v in zip(out, (k or "", g, bins.astype(np.int32), (counts[bins] / counts.sum()).astype(np.float32))):
+                for column, v in zip(out, (h, k or "", g, bins.astype(np.int32), (counts[bins] / counts.sum()).astype(np.float32))):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.float32()))], ["k", "g", "bins", "tf"])
-
-    table = text_batches(rows.join(F.broadcast(rates), "g").where(unit < F.col("rate")).select("k", "t", "g"), features, "k string, g string, bins array<int>, tf array<float>").toArrow()
-    got = sorted(zip(table["k"].to_pylist(), table["g"].to_pylist(), range(len(table))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["h", "k", "g", "bins", "tf"])
+
+    hashed = rows.withColumn("h", F.xxhash64("k", "g", "t"))
+    # Rows that repeat are chosen all or none, and one of them is enough.
+    chosen = hashed.join(broadcast_if(rates, 1_000_000), "g").where(unit < F.col("rate")).dropDuplicates(["h"])
+    made = staged(text_batches(chosen.select("h", "k", "t", "g"), features, "h long, k string, g string, bins array<int>, tf array<float>"), "language-features")
+    # Windows over the bounded sample.
+    order = Window.partitionBy("g").orderBy("h", "k")
+    sizes = made.select("h", "k", "g", F.size("bins").alias("n")).withColumn("sum", F.sum("n").over(order)).withColumn("no", F.row_number().over(order))
+    last = sizes.where((F.col("no") == 1) | (F.col("sum") <= MOST_FEATURES // len(counts))).groupBy("g").agg(F.max(F.struct("h", "k")).alias("last"))
+    table = made.join(broadcast_if(last, 1_000_000), "g").where(F.struct("h", "k") <= F.col("last")).select("h", "k", "g", "bins", "tf").toArrow()
+    got = sorted(zip(table["k"].to_pylist(), table["g"].to_pylist(), table["h"].to_pylist(), range(len(table))))
     bins, tf = table["bins"], table["tf"]
-    return train([(bins[i].values.to_numpy(), tf[i].values.to_numpy(), g) for _, g, i in got]) if got else LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros(0), 1.0)
+    return train([(bins[i].values.to_numpy(), tf[i].values.to_numpy(), g) for _, g, _, i in got]) if got else LanguageModel([], np.zeros((BINS, 0), np.float32), np.zeros(0), 1.0)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:

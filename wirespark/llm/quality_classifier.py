@@ -88,9 +88,12 @@ class Block:
         for i in range(1, ORDER):
             inside[ends - i] = False
         at = np.flatnonzero(inside)
-        _, first, self.which = np.unique(keys_of(self.codes, ORDER)[at], return_index=True, return_inverse=True)
-        self.first = at[first]
-        self.of = np.searchsorted(ends, at, "right")  # the piece of each window
+        # Numbered in the order of their first places; a hash table is faster here than sorting.
+        self.which = pa.array(keys_of(self.codes, ORDER)[at]).dictionary_encode().indices.to_numpy()
+        first = np.zeros(int(self.which.max()) + 1, np.int64)
+        first[self.which[::-1]] = at[::-1]
+        self.first = first
+        self.of = np.repeat(np.arange(len(pieces)), ends - self.starts - ORDER + 1)  # the piece of each window
 
     def keys(self) -> list[np.ndarray]:
         """For the distinct windows: keys of the grams of 1 to ORDER characters that end them."""
@@ -162,36 +165,37 @@ def _log(x) -> Column:
 
 def train(trusted: DataFrame, text: str = "text") -> "Model | None":
     """The model of all texts of trusted; None without any."""
-    levels = [staged(count_grams(trusted, text), "grams")]
-    if levels[0].isEmpty():
+    level = staged(count_grams(trusted, text), "grams")
+    if level.isEmpty():
         return None
+    counts = level.select(F.lit(ORDER).alias("order"), "gram", "n")
     for n in range(ORDER - 1, 0, -1):
         # What counts in a lower order is how many different characters stand before.
-        levels.append(staged(levels[-1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n")), "grams"))
-    found = []
-    lower, base = None, 0
-    for n, level in enumerate(reversed(levels), 1):
-        d = discounts_of(*level.agg(*[F.count_if(F.col("n") == i).alias(str(i)) for i in (1, 2, 3, 4)]).first())
-        cut = F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).otherwise(d[0])
-        # Whole numbers of grams with each discount: the sum doesn't depend on their order.
-        freed = sum((F.count_if(F.col("n") == i) if i < 3 else F.count_if(F.col("n") >= 3)) * F.lit(d[i - 1]) for i in (1, 2, 3))
-        if n == 1:
-            total, left = level.agg(F.sum("n"), freed).first()
-            base = round(float(np.log(left / total / CODE_POINTS)) * UNIT)
-            p = (F.col("n") - cut) / total + left / total / CODE_POINTS
-            lower = staged(level.select("gram", p.alias("p")), "p")
-            found.append(lower.select("gram", (_log("p") - base).alias("v")))
-            continue
-        context = F.substring("gram", 1, n - 1)
-        of = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), freed.alias("left")).select("context", "total", (F.col("left") / F.col("total")).alias("gamma"))
-        of = staged(of, "contexts")
-        met = level.withColumn("cut", cut).join(of, context == F.col("context")).join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("p0")), F.substring("gram", 2, n - 1) == F.col("rest"))
-        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p0")
+        level = level.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n"))
+        counts = counts.union(level.select(F.lit(n), "gram", "n"))
+    counts = staged(counts, "grams")
+    often = {r["order"]: r for r in counts.groupBy("order").agg(F.sum("n").alias("sum"), F.count("*").alias("all"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()}
+    cuts = {k: discounts_of(*(r[f"n{i}"] for i in (1, 2, 3, 4))) for k, r in often.items()}
+    d = [F.coalesce(*[F.when(F.col("order") == k, cut[i]) for k, cut in cuts.items()]) for i in range(3)]
+    least = often[1]
+    left = cuts[1][0] * least["n1"] + cuts[1][1] * least["n2"] + cuts[1][2] * (least["all"] - least["n1"] - least["n2"])
+    unseen = left / least["sum"] / CODE_POINTS
+    base = round(float(np.log(unseen)) * UNIT)
+    # Whole numbers of grams with each discount: the sum doesn't depend on their order.
+    freed = F.count_if(F.col("n") == 1) * d[0] + F.count_if(F.col("n") == 2) * d[1] + F.count_if(F.col("n") >= 3) * d[2]
+    contexts = counts.where("order > 1").groupBy("order", F.expr("substring(gram, 1, order - 1)").alias("context")).agg(F.sum("n").alias("total"), freed.alias("left"))
+    contexts = staged(contexts.select("order", "context", "total", (F.col("left") / F.col("total")).alias("gamma")), "contexts")
+    cut = F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).otherwise(d[0])
+    rows = counts.select("order", "gram", "n", cut.alias("cut"))
+    p = (F.col("n") - F.col("cut")) / least["sum"] + unseen
+    lower = staged(rows.where("order = 1").select("gram", p.alias("p"), (_log(p) - base).alias("v")), "p")
+    every = lower.select("gram", "v").union(contexts.select("context", _log("gamma")))
+    p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("p0")
+    for n in range(2, ORDER + 1):
+        own = rows.where(F.col("order") == n).withColumn("context", F.substring("gram", 1, n - 1)).withColumn("rest", F.substring("gram", 2, n - 1))
+        met = own.join(contexts.where(F.col("order") == n).drop("order"), "context").join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("p0")), "rest")
         lower = staged(met.select("gram", p.alias("p"), _log(p / F.col("gamma") / F.col("p0")).alias("v")), "p")
-        found += [lower.select("gram", "v"), of.select(F.col("context").alias("gram"), _log("gamma").alias("v"))]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
+        every = every.union(lower.select("gram", "v"))
 
     def keyed(grams: pa.Array) -> pa.Array:
         return pa.array([int(keys_of(codes_of(g), len(g))[0].view(np.int64)) for g in grams.to_pylist()], pa.int64())
@@ -211,6 +215,7 @@ class Model:
         """k long (xxhash64 of the text), perplexity double (a character), of the texts that have characters."""
         rows = texts.where(F.length(text) > 0).select(F.xxhash64(text).alias("k"), F.col(text).alias("t"))
         size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+        slices = max(1, min(slices, -(-size // CHUNK)))
         chunks = max(1, -(-size // (slices * CHUNK)))
         got = None
         for i in range(slices):
@@ -290,16 +295,16 @@ def once_a_task(rows: DataFrame) -> DataFrame:
     return text_batches(rows, run, rows.schema)
 
 
-def quantiles(df: DataFrame, x: str, shares: dict[str, float]) -> DataFrame:
-    """lang and, by name, the least x (a log; in whole FINEs) that at least such a share of the language's rows don't exceed.
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, by name, the least x (a log; in whole FINEs) that at least such a share of the keys' rows don't exceed.
 
-    Rows are counted by language and x, partly in every task. What is then sorted is one row for each different x of
-    a language, of which there are at most some tens of thousands.
+    Rows are counted by keys and x, partly in every task. What is then sorted is one row for each different x of a
+    language, of which there are at most some tens of thousands.
     """
-    n = df.groupBy("lang", F.round(F.col(x) * FINE).cast("long").alias("x")).agg(F.count("*").alias("n"))
-    own = Window.partitionBy("lang")
+    n = df.groupBy(*keys, F.round(F.col(x) * FINE).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*keys)
     n = n.withColumn("below", F.sum("n").over(own.orderBy("x"))).withColumn("all", F.sum("n").over(own))
-    return n.groupBy("lang").agg(*[(F.min(F.when(F.col("below") >= F.col("all") * share, F.col("x"))) / FINE).alias(name) for name, share in shares.items()])
+    return n.groupBy(*keys).agg(*[(F.min(F.when(F.col("below") >= F.col("all") * share, F.col("x"))) / FINE).alias(name) for name, share in shares.items()])
 
 
 def settled(x: Column, n: Column, middle: Column, prior: int) -> Column:
@@ -308,14 +313,14 @@ def settled(x: Column, n: Column, middle: Column, prior: int) -> Column:
 
 
 def thresholds(own: DataFrame, quantile: float, slack: float, prior: int) -> DataFrame:
-    """lang, middle, least (logs) from (lang, n, perplexity) of trusted documents."""
-    own = own.withColumn("x", F.log("perplexity"))
-    middle = quantiles(own, "x", {"middle": 0.5})
-    of = broadcast_if(staged(middle, "medians").withColumnRenamed("lang", "of"), 5000)
-    near = own.join(of, F.col("lang").eqNullSafe(F.col("of"))).withColumn("y", settled(F.col("x"), F.col("n"), F.col("middle"), prior))
-    high = quantiles(near, "y", {"high": quantile}).withColumnRenamed("lang", "of")
-    both = middle.join(high, F.col("lang").eqNullSafe(F.col("of")))
-    return both.select("lang", "middle", (F.col("high") + slack * (F.col("high") - F.col("middle"))).alias("least"))
+    """lang, whole, middle, least (logs) from (lang, n, perplexity) of trusted documents; where whole, over all languages."""
+    own = own.withColumn("x", F.log("perplexity")).withColumn("whole", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("lang", F.when(~F.col("whole"), F.col("lang")))
+    middle = staged(quantiles(own, ["lang", "whole"], "x", {"middle": 0.5}), "medians").toDF("l", "w", "middle")
+    same = F.col("lang").eqNullSafe(F.col("l")) & (F.col("whole") == F.col("w"))
+    middles = broadcast_if(middle, 5000)
+    near = own.join(middles, same).withColumn("y", settled(F.col("x"), F.col("n"), F.col("middle"), prior))
+    both = quantiles(near, ["lang", "whole"], "y", {"high": quantile}).join(middles, same)
+    return both.select("lang", "whole", "middle", (F.col("high") + slack * (F.col("high") - F.col("middle"))).alias("least"))
 
 
 def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, slack: float = 0.25, prior: int = 20, held: int = 4, slices: int = 4, names: tuple[str, str, str] = ("__perplexity", "__threshold", "__kept")) -> DataFrame:
@@ -340,15 +345,15 @@ def classified(docs: DataFrame, trusted_keys: DataFrame, text: str = "text", key
         mine = staged(mine.join(scores, F.col("h") == F.col("k")).select("lang", "n", "perplexity", "apart"), "trusted-perplexity")
         if not (new := mine.where("apart")).isEmpty():
             mine = new
-        by_lang = staged(thresholds(mine, quantile, slack, prior), "perplexity-thresholds")
-        every = thresholds(mine.withColumn("lang", F.lit(None).cast("string")), quantile, slack, prior).first()
+        found = staged(thresholds(mine, quantile, slack, prior), "perplexity-thresholds")
+        by_lang, every = found.where("NOT whole").select(F.col("lang").alias("of"), "middle", "least"), found.where("whole").first()
     has = chars > 0
     rows = docs.withColumn("n", chars)
     if model is None:
         rows = rows.select("*", F.when(has, F.lit(1.0)).alias("perplexity"), F.when(has, F.lit(float("inf"))).alias("threshold"))
     else:
         rows = rows.withColumn("h", F.when(has, F.xxhash64(text))).join(scores, F.col("h") == F.col("k"), "left")
-        rows = rows.join(broadcast_if(by_lang.withColumnRenamed("lang", "of"), 5000), F.col(lang).eqNullSafe(F.col("of")), "left")
+        rows = rows.join(broadcast_if(by_lang, 5000), F.col(lang).eqNullSafe(F.col("of")), "left")
         n, middle, least = F.col("n"), F.coalesce("middle", F.lit(every["middle"])), F.coalesce("least", F.lit(every["least"]))
         rows = rows.withColumn("threshold", F.when(n > 0, F.exp(F.least((least * (n + prior) - middle * prior) / n, F.lit(700.0)))))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))

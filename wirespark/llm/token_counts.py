@@ -35,8 +35,9 @@ from .tokenizer_files import default_path
 
 #: Code points of a chunk of the parallel scan.
 CHUNK = 128
-#: Bounds of the tables that a worker keeps.
-MAX_STATES, MAX_WORDS = 400_000, 800_000
+#: Bounds of the tables that a worker keeps: states (a state holds less than the longest token), and bytes of the words
+#: and their counts, about; what a word takes besides its characters.
+MAX_STATES, MAX_BYTES, EACH = 400_000, 128 << 20, 160
 # Classes of code points: letters that contractions are made of have their own.
 LETTER, NUMBER, BLANK, SPACE, OTHER, QUOTE, END = range(7)
 CONTRACTION = "stmdrevl"
@@ -176,6 +177,7 @@ class Merger:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.own: dict[bytes, bool] = {}
         self.words: dict[str, int] = {}
+        self.chars = 0
         self.clear()
 
     def clear(self) -> None:
@@ -248,12 +250,14 @@ class Merger:
 
     def counts(self, words: list[str]) -> np.ndarray:
         known = self.words
-        if len(known) > MAX_WORDS:
+        if EACH * len(known) + self.chars > MAX_BYTES:
             known.clear()
+            self.chars = 0
         if len(self.states) > MAX_STATES:
             self.clear()
         for w in set(words) - known.keys():
             known[w] = self.count(w)
+            self.chars += len(w)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 

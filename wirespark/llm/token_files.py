@@ -6,7 +6,7 @@ ids column is ORC's run-length encoded integers; the key column has row indexes
 reader given a key skips stripes and row groups (`read_tokens(..., key_value=...)`).
 
 Ids come from the tokenizers library. A pre-token always encodes to the same ids, so a worker asks the library once
-for each distinct pre-token it meets (a table of bounded size) and joins the answers. Texts with the string of a
+for each distinct pre-token it meets (a table of bounded bytes) and joins the answers. Texts with the string of a
 special token go to the library whole.
 
 Defined results: a null text is empty (only the end id); null keys sort first; rows with equal keys are ordered by
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_batches
+from .common import broadcast_if, staged, text_batches
 from .token_counts import Splitter, pretokens
 from .tokenizer_files import default_path
 
-#: Pre-tokens that a worker remembers.
-MAX_WORDS = 1_150_000
+#: Bytes of the pre-tokens and ids that a worker remembers, about; what a pre-token takes besides its characters and ids.
+MAX_BYTES, EACH = 200 << 20, 160
+#: Bytes of the input (as the planner knows them) that go to one key range.
+RANGE_BYTES = 256 << 20
 
 
 class Encoder:
@@ -50,7 +52,7 @@ class Encoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.first, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.used = self.chars = 0
         self.add("", [0])  # number 0 stands for the end of a text
 
     def room(self, words: int, ids: int) -> int:
@@ -65,6 +67,7 @@ class Encoder:
     def add(self, word: str, ids: list[int]) -> None:
         k = self.room(1, len(ids))
         self.known[word] = k
+        self.chars += len(word)
         self.first[k], self.length[k] = self.used, len(ids)
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
@@ -88,13 +91,14 @@ class Encoder:
             self.first[k : k + len(some)], self.length[k : k + len(some)] = self.used + starts, ends - starts
             self.flat[self.used : self.used + len(ids)] = ids
             self.known.update(zip(some, range(k, k + len(some))))
+            self.chars += sum(map(len, some))
             self.used += len(ids)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id; and the length of each text's."""
         whole = {i: np.array([*self.ids(t), end_id], np.int32) for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
         words, ends = pretokens(self.splitter, ["" if i in whole else t or "" for i, t in enumerate(texts)])
-        if len(self.known) > MAX_WORDS:
+        if EACH * len(self.known) + self.chars + 4 * self.used > MAX_BYTES:
             self.clear()
         get = self.known.get
         numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
@@ -141,9 +145,18 @@ def encoded(docs: DataFrame, text: str, key: str, path: str, end_id: int) -> Dat
 
 
 def write_tokens(docs: DataFrame, to: str, text: str = "text", key: str = "doc_id", path: str | None = None, end_id: int = 0, stripe_mb: int = 64) -> None:
-    """Write ORC files under `to`. Ranges are split by key, so that a hot key alone can make a range large."""
+    """Write ORC files under `to`. Ranges are split by key, so that a hot key alone can make a range large.
+
+    Their number follows the input's size, and is the session's (which Spark lessens for small inputs) where that is enough.
+    """
     path = path or default_path()
-    dealt = docs.select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+    rows, order = docs.select(F.col(key), F.col(text)), F.col(key).asc_nulls_first()
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 62:  # not known to the planner
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = -(-size // RANGE_BYTES)
+    enough = ranges <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (rows.repartitionByRange(order) if enough else rows.repartitionByRange(ranges, order)).sortWithinPartitions(order, F.col(text).asc_nulls_first())
     rows = encoded(dealt, text, key, path, end_id).select(key, "ids", F.spark_partition_id().alias("range_no"), F.monotonically_increasing_id().alias("row_no"))
     (rows.write.option("compression", "snappy").option("orc.bloom.filter.columns", key).option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_mb << 20)).orc(to))
 
@@ -174,4 +187,4 @@ def digests(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     first = each.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("range_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(first), "range_no").select(key, (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return sums.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(broadcast_if(first, 1_000_000), "range_no").select(key, (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
