@@ -27,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     left = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = None
-    while not left.isEmpty():
+    while n := left.count():
         both = left.union(left.select("b", "a")).toDF("node", "other")
         step = staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("to"), F.count("*").alias("degree")), "steps")
-        hot = step.where(F.col("degree") > left.count() / HOT + 8)
+        hot = step.where(F.col("degree") > n / HOT + 8)
         step = step.select("node", "to")
         if labels is None:
             labels = step.withColumnRenamed("to", "component")

@@ -263,13 +263,15 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
 
     entries = classes.where(F.col("n") >= num * (x + 1) // den).select("rep", "n", F.posexplode("prefix").alias("at", "h"))
     # Sizes and pivots of lists by partial aggregation, then a join that Spark can split: a hot list is in no one task.
-    heads = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+    heads = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     lists = staged(entries.join(heads, "h"), "lists")
-    pivots = lists.where("rep = pivot").select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    # A list's pivot is the set that has the fewest lists to itself: in a group of edited copies, one that is edited least.
+    alone = lists.groupBy("rep").agg((F.expr(f"first(n) - ({num} * first(n) + {den - 1}) DIV {den} + 1") - F.count("*")).alias("alone"))
+    pivots = lists.join(alone, "rep").groupBy("h").agg(F.min(F.struct("alone", "rep", "n", "at")).alias("p")).select("h", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"))
     first = lists.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib")).join(pivots, "h")
-    first = first.where("a < b").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
+    first = first.where("a <> b").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
     # One pivot for each member: that with which it shares most lists.
-    pairs = first.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+    pairs = first.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
     pairs = staged(plausible(pairs, classes, num, den), "pairs")
     tested = pairs
     # What is still open: first all pairs of different components in short lists, then those in long ones.
