@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from wirespark.llm import mixing as M
@@ -77,3 +79,31 @@ def test_edges(edges, nothing):
 def test_all_texts_empty(spark):
     got = M.taken(*M.mix(table(spark, [(1, "", "en", "a"), (2, None, "en", None)]))).collect()
     assert [r.taken for r in got] == [0, 0]
+
+
+def test_rows_come_in_the_order_of_slots_and_near_their_targets(spark):
+    r = random.Random(11)
+    rows = [(i, prose(i, r.randrange(1, 60)), "en", "abc"[i % 3]) for i in range(300)] + [(900, prose(900, 4000), "en", "d"), *((901 + i, prose(901 + i, 30), "en", "d") for i in range(90))]
+    docs = table(spark, rows).withColumnsRenamed({"h": "slots", "size": "copy"})
+    pieces, placed = M.mix(docs, slots_about=200)
+    first = {}
+    for p in pieces.join(placed, ["no", "start"]).collect():
+        first[p.k, p["round"]] = min(first.get((p.k, p["round"]), 1 << 60), p.slot)
+    got = M.mixed_rows(docs, slots_about=200)
+    assert got.columns == docs.columns
+    words = {i: (len(t.split()), s) for i, t, _, s in rows}
+    seen, slots, taken = {}, [], {}
+    for x in got.collect():
+        own = sorted(v for (k, _), v in first.items() if k == x.doc_id)
+        seen[x.doc_id] = seen.get(x.doc_id, 0) + 1
+        slots.append(own[min(seen[x.doc_id], len(own)) - 1] if own else 1 << 60)
+        taken[x.source] = taken.get(x.source, 0) + words[x.doc_id][0]
+    assert slots == sorted(slots) and max(seen.values()) <= 3
+    for t in placed.select("src", "target").distinct().collect():
+        assert abs(taken[t.src] - t.target) <= 30 if t.src != "d" else abs(taken["d"] - t.target) <= 2000
+
+
+def test_repeated_rows_share(spark):
+    rows = [(1, "a b c", "en", "x")] * 4 + [(2, "d e f", "en", "y")] * 2 + [(None, "g h", "en", None)] * 2
+    got = [x.doc_id for x in M.mixed_rows(table(spark, rows)).collect()]
+    assert got.count(1) % 4 == 0 and got.count(2) % 2 == 0 and got.count(None) % 2 == 0 and 0 < len(got) <= 24

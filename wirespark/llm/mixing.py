@@ -94,7 +94,7 @@ def slots(spark, plan: DataFrame, bits: int, total: int) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, most: int = 3, slots_about: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """The mix, and the documents it is made of.
 
-    Pieces: slot, no, start, from_word, to_word (of the document at `start` of source `no`), in the order of slots.
+    Pieces: slot, round (of its source's words), no, start, from_word, to_word (of the document at `start` of source `no`).
     Documents: k (the key), src, size, h, start, no, source_size, target.
     """
     spark = docs.sparkSession
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     cells = placed.where("size > 0").select("no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("cell"))
     lo = F.greatest("start", "from", F.col("cell") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("to"), (F.col("cell") + 1) * block)
-    pieces = spans.join(cells, ["no", "cell"]).where(lo < hi).select(F.col("i").alias("slot"), "no", "start", (lo - F.col("start")).alias("from_word"), (hi - F.col("start")).alias("to_word"))
+    pieces = spans.join(cells, ["no", "cell"]).where(lo < hi).select(F.col("i").alias("slot"), "round", "no", "start", (lo - F.col("start")).alias("from_word"), (hi - F.col("start")).alias("to_word"))
     return pieces, placed
 
 
@@ -134,13 +134,32 @@ def taken(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     return full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
+def copies(pieces: DataFrame, placed: DataFrame) -> DataFrame:
+    """no, start, k, h, times (whole copies of the document, or 0), slots (the first of each round that takes from it).
+
+    A source's mix ends inside one document at most. If it takes half of that or more, the document comes whole; else as
+    many of those after it, in the source's shuffled order, as the words that are left fill.
+    """
+    full = staged(taken(pieces, placed).where("size > 0").select("no", "start", "k", "h", "size", "taken"), "mix-taken")
+    last = full.where("taken % size > 0").select(F.col("no").alias("n"), F.col("start").alias("at"), F.col("size").alias("of"), (F.col("taken") % F.col("size")).alias("rest"))
+    half, behind = F.col("rest") * 2 >= F.col("of"), F.col("start") - F.col("at") - F.col("of")
+    more = F.when(half, behind + F.col("of") == 0).otherwise((behind >= 0) & (behind + F.col("size") <= F.col("rest")))
+    times = full.join(broadcast_if(last, 5000), F.col("no") == F.col("n"), "left").withColumn("times", F.floor(F.col("taken") / F.col("size")) + F.coalesce(more, F.lit(False)).cast("int"))
+    slots = pieces.groupBy("no", "start", "round").agg(F.min("slot").alias("slot")).groupBy("no", "start").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    return times.select("no", "start", "k", "h", "times").join(slots, ["no", "start"], "left")
+
+
 def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **more) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it: words taken over its size, rounded.
+    """The rows of docs, all columns, each as often as the mix takes it (`copies`), in the order of the schedule's slots.
 
-    Rows are matched by their key and a hash of key and text; rows that are repeated share what they are taken.
+    Rows are matched by their key and a hash of key and text; rows that repeat share what they are taken, rounded.
     """
-    pieces, placed = mix(docs, text, key, source, **more)
-    times = taken(pieces, placed).where("taken > 0").groupBy("k", "h").agg((F.sum("taken") / F.sum("size")).alias("__times")).where("__times >= 0.5")
-    times = times.select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.sequence(F.lit(1), F.round("__times").cast("int")).alias("__times"))
-    rows = docs.withColumn("__h2", F.xxhash64(F.col(key), F.col(text), F.lit(17)))
-    return rows.join(times, rows[key].eqNullSafe(times["__k"]) & (rows["__h2"] == times["__h"])).withColumn("__n", F.explode("__times")).select(*[rows[c] for c in docs.columns])
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select([F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    text, key, source = own[text], own[key], own[source]
+    of = copies(*mix(rows, text, key, source, **more)).groupBy("k", "h").agg(F.sum("times").alias("sum"), F.count("*").alias("rows"), F.min("slots").alias("slots"))
+    of = of.select("k", "h", "slots", F.round(F.col("sum") / F.col("rows")).cast("int").alias("times")).where("times > 0")
+    met = rows.withColumn("h2", F.xxhash64(F.col(key), F.col(text), F.lit(17))).join(of, F.col(key).eqNullSafe(F.col("k")) & (F.col("h2") == F.col("h")))
+    each = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    slot = F.coalesce(F.get("slots", F.least(F.col("copy"), F.size("slots")) - 1), F.lit(1 << 62))
+    return each.orderBy(slot, "copy", "h").select([F.col(x).alias(c) for c, x in own.items()])
