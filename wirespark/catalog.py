@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import casts, inflect, invoke, vector
+from .operators import counters as side_counters
 from .operators import relational, search
 from .sources import columnar, cross_idl, kv, loaders, proto_codec, rcfile, records, text, thrift_codec
 from .storage import new_path
+from .streaming import lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -331,13 +334,33 @@ def projection_pushdown(spark, table):
 
 @query(CUSTOMERS + " WHERE c_custkey % 10 <> 0")
 def bad_record_tolerance(spark, table):
-    """Every tenth record is cut to three quarters; empty records are skipped."""
+    """Every tenth record is cut to three quarters, and is bad; empty ones stand among them, and the decoder skips those."""
     codec = customer_codec("thrift")
     whole = records.encoded(table("customer"), codec)
     key = F.conv(F.hex(F.expr("substring(record, 4, 8)")), 16, 10).cast("long")
     cut = whole.select(F.when(key % 10 == 0, F.expr("substring(record, 1, CAST(octet_length(record) * 3 / 4 AS INT))")).otherwise(F.col("record")).alias("framed"))
-    framed = cut.union(spark.range(5).select(F.lit("").cast("binary"))).select(F.when(F.octet_length("framed") > 0, F.col("framed")).alias("framed"), F.lit(False).alias("is_block")).where("framed IS NOT NULL")
-    return records.decoded(framed, codec, threshold=0.5)
+    framed = cut.union(spark.range(500).select(F.lit("").cast("binary")))
+    return records.decoded(framed.select("framed", F.lit(False).alias("is_block")), codec, threshold=0.5)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0")
+def hardened_thrift_decode(spark, table):
+    """Every seventh record states a string of 2 GB: a bad record, not memory asked for."""
+    codec = customer_codec("thrift")
+    whole = records.encoded(table("customer"), codec)
+    key = F.conv(F.hex(F.expr("substring(record, 4, 8)")), 16, 10).cast("long")
+    huge = F.expr("overlay(record PLACING X'7FFFFFFF' FROM 15 FOR 4)")
+    framed = whole.select(F.when(key % 7 == 0, huge).otherwise(F.col("record")).alias("framed"), F.lit(False).alias("is_block"))
+    return records.decoded(framed, codec, threshold=0.5).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0")
+def proto_bad_utf8_tolerance(spark, table):
+    """Every seventh name isn't UTF-8: a bad record."""
+    raw = proto_codec.Codec(proto_codec.parse(CUSTOMER_PROTO.replace("string c_name", "bytes c_name")), "Customer")
+    rows = table("customer").withColumn("c_name", F.when(F.col("c_custkey") % 7 == 0, F.unhex(F.lit("FF41"))).otherwise(F.col("c_name").cast("binary")))
+    framed = records.encoded(rows, raw).select(F.col("record").alias("framed"), F.lit(False).alias("is_block"))
+    return records.decoded(framed, customer_codec("proto"), threshold=0.5).select("c_custkey")
 
 
 PRIORITY = "enum Priority { URGENT = 1, HIGH, MEDIUM, NOT_SPECIFIED, LOW } struct Order { 1: i64 o_orderkey, 2: Priority priority }"
@@ -456,6 +479,142 @@ def java_invoke(spark, table):
     return table("orders").select("o_orderkey", invoke.invoke_static("java.lang.Math.abs", F.col("o_custkey") - 500, returns="long").alias("far"))
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS high FROM events GROUP BY 1")
+# Protocol Buffers of the third syntax.
+PROTO3 = """
+syntax = "proto3"; package shop;
+enum Size { UNKNOWN = 0; SMALL = 1; LARGE = 2; }
+message Part {
+  int64 p_partkey = 1; string p_name = 2; Size size = 3; reserved 4;
+  oneof price { double p_retailprice = 5; string on_request = 6; }
+  map<string, int64> counts = 7;
+}
+"""
+
+
+def part_codec() -> proto_codec.Codec:
+    return proto_codec.Codec(proto_codec.parse(PROTO3), "Part")
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size > 25 THEN 'LARGE' ELSE 'SMALL' END AS size, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE p_retailprice END AS p_retailprice, CASE WHEN p_partkey % 3 = 0 THEN 'ask' ELSE '' END AS on_request FROM part")
+def proto3_roundtrip(spark, table):
+    """Fields without labels, an enum and a oneof of which one member is set."""
+    at, ask = new_path(spark, "proto3"), F.col("p_partkey") % 3 == 0
+    rows = table("part").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, "LARGE").otherwise("SMALL").alias("size"), F.when(~ask, F.col("p_retailprice")).alias("p_retailprice"), F.when(ask, "ask").alias("on_request"))
+    records.write_records(rows, at, part_codec())
+    return records.read_records(spark, at, part_codec()).drop("counts")
+
+
+@query("SELECT p_partkey, 'size' AS key, CAST(p_size AS BIGINT) AS value FROM part UNION ALL SELECT p_partkey, p_name, p_partkey * 2 FROM part")
+def proto_map_roundtrip(spark, table):
+    at = new_path(spark, "proto-map")
+    maps = F.create_map(F.lit("size"), F.col("p_size").cast("long"), F.col("p_name"), F.col("p_partkey").cast("long") * 2)
+    rows = table("part").select("p_partkey", *[F.lit(None).cast(t).alias(n) for n, t in (("p_name", "string"), ("size", "string"), ("p_retailprice", "double"), ("on_request", "string"))], maps.alias("counts"))
+    records.write_records(rows, at, part_codec())
+    return records.read_records(spark, at, part_codec()).select("p_partkey", F.explode("counts").alias("key", "value"))
+
+
+@query("SELECT 'Customer' AS class_name, count(*) AS n, min(c_custkey) AS least, max(c_custkey) AS most FROM customer UNION ALL SELECT 'Part', count(*), min(p_partkey), max(p_partkey) FROM part")
+def named_blocks(spark, table):
+    """Blocks of two classes in one folder, told apart by the name in the blocks and decoded each by its own codec."""
+    at = new_path(spark, "named")
+    records.write_records(table("customer"), f"{at}/a", customer_codec("proto"), class_name="Customer")
+    records.write_records(table("part").select("p_partkey", "p_name"), f"{at}/b", part_codec(), class_name="Part")
+    found = records.named_records(spark, at)
+    parts = []
+    for name, key, codec in (("Customer", "c_custkey", customer_codec("proto", columns=["c_custkey"])), ("Part", "p_partkey", part_codec())):
+        own = found.where(F.col("class_name") == name).select(F.col("record").alias("framed"), F.lit(False).alias("is_block"))
+        parts.append(records.decoded(own, codec).agg(F.lit(name).alias("class_name"), F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("most")))
+    return parts[0].union(parts[1])
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def loader_columns(spark, table):
+    """A Thrift struct's text in place of a codec; columns in the order asked for."""
+    at = new_path(spark, "loader-columns")
+    records.write_records(table("customer"), at, customer_codec("thrift"))
+    return loaders.load(spark, at, CUSTOMER_THRIFT, "Customer", columns=["c_acctbal", "c_custkey"])
+
+
+# Words.
+WORDS = ["cats", "com.x.PersonAddresses", "boxes", "order_ids", "Max_uptime"]
+
+
+def fixed_words(spark, table) -> DataFrame:
+    return table("region").select("r_regionkey", F.element_at(F.array(*map(F.lit, WORDS)), F.col("r_regionkey") + 1).alias("word"))
+
+
+def as_sql(**columns: list[str]) -> str:
+    return "SELECT r_regionkey, " + ", ".join(f"({v})[r_regionkey + 1] AS {k}" for k, v in columns.items()) + " FROM region"
+
+
+@query(as_sql(singular=["cat", "com.x.PersonAddress", "box", "order_id", "Max_uptime"], bare=["cats", "PersonAddresses", "boxes", "order_ids", "Max_uptime"], dashed=["cats", "com.x.PersonAddresses", "boxes", "order-ids", "Max-uptime"]))
+def inflect_singularize(spark, table):
+    return fixed_words(spark, table).select("r_regionkey", inflect.singularize("word").alias("singular"), inflect.depackage("word").alias("bare"), inflect.dasherize("word").alias("dashed"))
+
+
+@query(as_sql(foreign=["cats_id", "person_addresses_id", "boxes_id", "order_ids_id", "max_uptime_id"], joined=["catsid", "person_addressesid", "boxesid", "order_idsid", "max_uptimeid"], cls=["Cat", "PersonAddress", "Box", "OrderId", "MaxUptime"]))
+def inflect_keys_and_classes(spark, table):
+    w = fixed_words(spark, table)
+    return w.select("r_regionkey", inflect.foreign_key("word").alias("foreign"), inflect.foreign_key("word", False).alias("joined"), inflect.classify("word").alias("cls"))
+
+
+@query("SELECT n_nationkey, upper(substring(n_name, 1, 1)) || lower(substring(n_name, 2)) AS capital, upper(substring(n_name, 1, 1)) || lower(substring(n_name, 2)) || ' key' AS human, upper(substring(n_name, 1, 1)) || lower(substring(n_name, 2)) || ' Key' AS title, lower(n_name) || '_keys' AS tbl FROM nation WHERE NOT contains(n_name, ' ') AND NOT contains(n_name, '_')")
+def inflect_titles(spark, table):
+    rows = table("nation").where("NOT contains(n_name, ' ') AND NOT contains(n_name, '_')").withColumn("w", F.concat(F.lower("n_name"), F.lit("_key")))
+    return rows.select("n_nationkey", inflect.capitalize("n_name").alias("capital"), inflect.humanize("w").alias("human"), inflect.titleize("w").alias("title"), inflect.tableize("w").alias("tbl"))
+
+
+# Casts.
+@query("SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice) AS BIGINT) AS whole, CASE WHEN l_extendedprice * 100000 >= 2147483647 THEN 2147483647 ELSE CAST(trunc(l_extendedprice * 100000) AS INTEGER) END AS held, CAST(l_quantity AS VARCHAR) = CAST(l_quantity AS VARCHAR) AS same FROM lineitem")
+def casts_saturate(spark, table):
+    price = F.col("l_extendedprice").cast("double")
+    return table("lineitem").select("l_orderkey", "l_linenumber", casts.float_to_long(price).alias("whole"), casts.float_to_int(price * 100000).alias("held"), (casts.as_text("l_quantity") == F.col("l_quantity").cast("string")).alias("same"))
+
+
+@query("SELECT o_orderkey, o_clerk_size AS size, back FROM (SELECT o_orderkey, strlen(o_orderpriority) AS o_clerk_size, o_orderpriority AS back FROM orders)")
+def casts_sized_bytes(spark, table):
+    """Bytes behind their length; one byte too many makes it no such value."""
+    body = F.col("o_orderpriority").cast("binary")
+    framed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), body)
+    rows = table("orders").select("o_orderkey", F.octet_length(casts.sized_bytes(framed)).cast("long").alias("size"), casts.sized_bytes(framed).cast("string").alias("back"), casts.sized_bytes(F.concat(framed, body)).alias("none"))
+    return rows.where("none IS NULL").drop("none")
+
+
+@query("SELECT o_orderkey, TRY_CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS number, TRY_CAST(o_orderpriority AS INTEGER) AS bad FROM orders")
+def casts_parse(spark, table):
+    return table("orders").select("o_orderkey", casts.parsed(F.substring("o_orderpriority", 1, 1), "int", False).alias("number"), casts.parsed("o_orderpriority", "int", False).alias("bad"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
+def json_nested_group(spark, table):
+    """Grouped by a property within a property."""
+    wrapped = table("events").select(F.concat(F.lit('{"outer": '), F.col("props"), F.lit("}")).alias("line"))
+    return wrapped.select(text.json_nested("line").alias("v")).groupBy(F.expr("try_variant_get(v, '$.outer.k', 'string')").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (value > 50) AS high, count(*) FILTER (event_type = 'click') AS clicks FROM events")
 def counters(spark, table):
-    return table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"))
+    """Counted as a side result of the rows' own way to a table."""
+    rows, seen = side_counters.counted(table("events"), "Events", n=F.lit(True), high=F.col("value") > 50, clicks=F.col("event_type") == "click")
+    rows.write.parquet(new_path(spark, "counted"))
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("n", "high", "clicks"))], "n long, high long, clicks long")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
+def stream_json_counts(spark, table):
+    """A stream of files through the JSON parser, counted as it comes, until all files are read."""
+    at, name = new_path(spark, "stream"), f"counts_{uuid.uuid4().hex[:8]}"
+    table("events").select("props").repartition(3).write.text(at)
+    counts = lines.stream_json(spark, at, 1).select(F.col("json")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def text_pairs(spark, table):
+    """Lines of key, tab and value."""
+    at = new_path(spark, "pairs")
+    text.write_pairs_text(table("customer").select("c_custkey", "c_name"), at)
+    parts = F.split("value", "\t")
+    return spark.read.text(at).select(parts[0].cast("long").alias("c_custkey"), parts[1].alias("c_name"))

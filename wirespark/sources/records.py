@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ from .tolerance import ErrorBudget
 MARKER = bytes([0x29, 0xD8, 0xD5, 0x06, 0x58, 0xCD, 0x4C, 0x29, 0xB2, 0xBC, 0x57, 0x99, 0x21, 0x71, 0xBD, 0xFF])
 VERSION = 1
 RECORDS_IN_BLOCK = 100
+#: Files whose beginnings are looked at together.
+SNIFFERS = 32
 
 
 class Raw:
@@ -108,7 +111,7 @@ def is_block_file(spark: SparkSession, path: str) -> bool:
     try:
         packed = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
         source = packed.createInputStream(stream) if packed is not None else stream
-        return bytes((source.read() & 0xFF) for _ in range(len(MARKER))) == MARKER
+        return bytes(source.readNBytes(len(MARKER))) == MARKER
     finally:
         stream.close()
 
@@ -127,7 +130,9 @@ def framed_records(spark: SparkSession, path: str | list[str], layout: str = "au
     paths = [path] if isinstance(path, str) else list(path)
     if layout == "auto":
         files = listed(spark, paths)
-        blocks = [f for f in files if is_block_file(spark, f)]
+        # A few bytes of each file, many files at a time: what waits here is the file system.
+        with ThreadPoolExecutor(SNIFFERS) as pool:
+            blocks = [f for f, is_block in zip(files, pool.map(lambda f: is_block_file(spark, f), files)) if is_block]
         lines = sorted(set(files) - set(blocks))
         parts = [framed_records(spark, p, kind) for kind, p in (("block", blocks), ("b64line", lines)) if p]
         if not parts:
@@ -141,6 +146,28 @@ def framed_records(spark: SparkSession, path: str | list[str], layout: str = "au
     return rows.select(base64_bytes("value").alias("framed"), F.lit(False).alias("is_block"))
 
 
+def named_records(spark: SparkSession, path: str | list[str], threshold: float = 0.0001, least: int = 2, early: bool = False) -> DataFrame:
+    """class_name (as the block says), record (bytes, undecoded) of block files that may hold any classes. Bad blocks are tolerated by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        budget = ErrorBudget(threshold, least, early)
+        for b in batches:
+            for data in b.column("framed").to_pylist():
+                try:
+                    name, records = records_of(data)
+                    budget.good()
+                except DecodeError as e:
+                    budget.bad(e)
+                    continue
+                records = [r for r in records if r]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(records), pa.string()), pa.array(records, pa.binary())], ["class_name", "record"])
+        budget.close()
+
+    framed = framed_records(spark, path, "block").select("framed")
+    ship(spark)
+    return framed.mapInArrow(run, "class_name string, record binary")
+
+
 class Counters:
     """What a scan saw, over all partitions: records, errors, empty records. Retried tasks count again."""
 

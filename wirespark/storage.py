@@ -11,10 +11,13 @@ _local_default: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a temporary folder."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder if all runs on this machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _local_default.setdefault("dir", tempfile.mkdtemp(prefix="wirespark-"))
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_default.get("dir") or _local_default.setdefault("dir", tempfile.mkdtemp(prefix="wirespark-"))
     return base.rstrip("/")
 
 
