@@ -12,10 +12,11 @@ Documents with equal sets are one class, which gets a number. Classes are split
 The boundary is where the subsets emitted begin to cost more than list entries and verification (`boundary`).
 
 A group of n similar classes is not compared pair by pair. The first round compares each member with one pivot, that
-with which it shares most lists, and joins what is similar to components. Two more rounds, over lists of up to 32 members
-and then over longer ones, compare only members of a list that are in different components by then, whose sizes lie in
-the same or neighbouring bands (so a long list is dealt by size too), and only those whose places in the list's sets let
-them have enough in common. So every pair that could connect two components is verified.
+with which it shares most lists, and joins what is similar to components. Two more rounds compare only members of a list
+that are in different components by then, whose sizes lie in the same or neighbouring bands (so a long list is dealt by
+size too), and only those whose places in the list's sets let them have enough in common. The one round takes all such
+pairs of lists of up to 32 members and, from longer ones, each set's best partners; the other all pairs that are left. So
+every pair that could connect two components is verified.
 
 Defined results: words are runs of anything but blank and \\t to \\r, A-Z lower-cased. A text with fewer words than a
 shingle is one shingle; a null or wordless one has no set, is linked with nothing and is its own component. Rows with
@@ -48,6 +49,8 @@ SMALL_MOST = 32
 VERIFY = 8
 #: Lists up to this length have all their open pairs compared in one round.
 SHORT_LIST = 32
+#: Best partners that each set of a longer list tries before all pairs that are still open.
+PARTNERS = 8
 C1, C2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -261,20 +264,20 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
     x = boundary(sizes, num, den)
     links = staged(small_links(classes, x, num, den).union(one_key_links(sets, classes)).select("a", "b"), "links-small")
 
-    entries = classes.where(F.col("n") >= num * (x + 1) // den).select("rep", "n", F.posexplode("prefix").alias("at", "h"))
+    entries = classes.where(F.col("n") >= num * (x + 1) // den).select("rep", "id", "n", F.posexplode("prefix").alias("at", "h"))
     # Sizes and pivots of lists by partial aggregation, then a join that Spark can split: a hot list is in no one task.
     heads = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     lists = staged(entries.join(heads, "h"), "lists")
-    # A list's pivot is the set that has the fewest lists to itself: in a group of edited copies, one that is edited least.
-    alone = lists.groupBy("rep").agg((F.expr(f"first(n) - ({num} * first(n) + {den - 1}) DIV {den} + 1") - F.count("*")).alias("alone"))
-    pivots = lists.join(alone, "rep").groupBy("h").agg(F.min(F.struct("alone", "rep", "n", "at")).alias("p")).select("h", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"))
+    # A list's pivot is the set with the smallest key: what others are edited from mostly came before them.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rep", "n", "at")
+    pivots = lists.groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"))
     first = lists.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib")).join(pivots, "h")
     first = first.where("a <> b").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
     # One pivot for each member: that with which it shares most lists.
     pairs = first.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
     pairs = staged(plausible(pairs, classes, num, den), "pairs")
     tested = pairs
-    # What is still open: first all pairs of different components in short lists, then those in long ones.
+    # What is still open: first all pairs in short lists and the best of long ones, then all.
     for last in (False, True):
         links = links.union(verified(pairs, classes, docs, k, num, den))
         labels = staged(components(links), "components")
@@ -283,16 +286,25 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3
         open_lists = now.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("h")
         lists = staged(now.join(open_lists, "h", "left_semi"), "open-lists")
         discard(now)
-        some = lists if last else lists.where(F.col("m") <= SHORT_LIST)
         # A set meets those that are no smaller: in its own size band or the next one, each as wide as sizes may differ.
         band = F.floor(F.log("n") / float(np.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
-        placed = some.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("c").alias("cb"), band.cast("long").alias("band"))
+        placed = lists.select("h", "m", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("c").alias("cb"), band.cast("long").alias("band"))
         left = placed.select("h", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ib").alias("ia"), F.col("cb").alias("ca"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
         met = left.join(placed, ["h", "band"]).where("(na < nb OR na = nb AND a < b) AND ca <> cb").where(F.expr(may_meet("na", "ia", "nb", "ib", x, num, den)))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min("m").alias("m"))
+        if not last:
+            met = staged(met, "open-pairs")
+            some = met.where(F.col("m") <= SHORT_LIST).select("a", "b")
+            for me, other in (("a", "b"), ("b", "a")):
+                # Equally good partners are many: each seed takes another of them.
+                tops = met.groupBy(me).agg(*[F.max(F.struct("c", F.xxhash64("a", "b", F.lit(seed)).alias("x"), other))[other].alias(f"p{seed}") for seed in range(PARTNERS)])
+                some = some.union(tops.select(me, F.explode(F.array_distinct(F.array(*[f"p{seed}" for seed in range(PARTNERS)]))).alias(other)).select("a", "b"))
+            met = some.distinct()
+        else:
+            met = met.select("a", "b")
         pairs = staged(plausible(met.join(tested, ["a", "b"], "left_anti"), classes, num, den), "pairs")
         tested = tested.union(pairs)
-        lists = lists.drop("c").where(F.col("m") > SHORT_LIST)
+        lists = lists.drop("c")
     if not pairs.isEmpty():
         links = links.union(verified(pairs, classes, docs, k, num, den))
         labels = staged(components(links), "components")
