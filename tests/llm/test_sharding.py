@@ -52,6 +52,7 @@ def test_tiers(spark):
 def test_empty_and_digest(spark, edges, nothing):
     store, got = S.sharded(nothing, new_path(spark, "store"))
     assert store.version() == 4 and got.count() == 0 and got.columns == edges.columns
+    assert S.shard_digest(got).count() == 0
     _, got = S.sharded(edges, new_path(spark, "store"))
     assert rows(got) == rows(edges)
     digest = S.shard_digest(got).collect()

@@ -135,8 +135,11 @@ class ShardStore:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         which = F.pmod(F.xxhash64(*simple), F.lit(arrivals)) if simple else F.lit(0)
         df.withColumn(by, which).write.option("compression", "zstd").partitionBy(by).parquet(folder)
-        for i in range(arrivals):
-            version = self._add(self._shards(f"{folder}/{by}={i}"), df.schema.json())
+        batches = [self._shards(f"{folder}/{by}={i}") for i in range(arrivals)]
+        if not any(batches):
+            batches[0] = self._write(df)  # of no rows: a shard that has the columns alone
+        for batch in batches:
+            version = self._add(batch, df.schema.json())
         return version
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
