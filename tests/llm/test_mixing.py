@@ -107,3 +107,27 @@ def test_repeated_rows_share(spark):
     rows = [(1, "a b c", "en", "x")] * 4 + [(2, "d e f", "en", "y")] * 2 + [(None, "g h", "en", None)] * 2
     got = [x.doc_id for x in M.mixed_rows(table(spark, rows)).collect()]
     assert got.count(1) % 4 == 0 and got.count(2) % 2 == 0 and got.count(None) % 2 == 0 and 0 < len(got) <= 24
+
+
+def test_slots_of_large_schedules(spark):
+    for bits, counts in ((1, [2]), (9, [300, 1, 90, 60]), (12, [5, 4000])):
+        plan = spark.createDataFrame([(k, sum(counts[:k]), n) for k, n in enumerate(counts)], "no long, first long, n long")
+        total = sum(counts)
+        got = {r.i: (r.no, r["rank"]) for r in M.slots(spark, plan, bits, total).collect()}
+        seen, want = {}, {}
+        for i in range(1 << bits):
+            point = int(f"{i:0{bits}b}"[::-1], 2)
+            no = next(k for k in range(len(counts)) if sum(counts[:k]) * (1 << bits) // total <= point < sum(counts[: k + 1]) * (1 << bits) // total)
+            rank = seen[no] = seen.get(no, -1) + 1
+            if rank < counts[no]:
+                want[i] = no, rank
+        assert got == want
+
+
+def test_schedule_stays_small_on_the_driver(spark, edges):
+    plan = spark.createDataFrame([(0, 0, 90_000), (1, 90_000, 41_000)], "no long, first long, n long")
+    text = M.slots(spark, plan, 17, 131_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and len(text) < 20_000
+    # The schedule is made for the pieces alone: what is planned after them reads them.
+    rows = M.copies(*M.mix(edges))
+    assert "sequence(" not in rows._jdf.queryExecution().optimizedPlan().toString()

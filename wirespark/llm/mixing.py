@@ -73,22 +73,18 @@ def laid_out(rows: DataFrame) -> DataFrame:
 def slots(spark, plan: DataFrame, bits: int, total: int) -> DataFrame:
     """i, no, rank of the slots in use. plan: no, first (slots of the sources before), n (slots), one row a source."""
     size = 1 << bits
-    point = F.lit(0).cast("long")
-    for b in range(bits):
-        point = point + F.shiftleft(F.shiftright("i", b).bitwiseAND(F.lit(1)), bits - 1 - b)
-    points = spark.range(size).withColumnRenamed("id", "i").withColumn("point", point)
     bounds = plan.select("no", "n", F.floor(F.col("first") * size / total).cast("long").alias("lo"), F.floor((F.col("first") + F.col("n")) * size / total).cast("long").alias("hi"))
-    # A source's grid points are consecutive numbers: made from its row, and joined to the slots on equality.
+    # A source's grid points are consecutive numbers: made from its row. The slot at a point has its bits reversed.
     owned = bounds.where("hi > lo").select("no", "n", "lo", "hi", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("point"))
+    owned = owned.withColumn("i", F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long"))
     rank = F.lit(0).cast("long")
     for b in range(bits):
-        # Where bit b of i is set, the 2^b slots before that differ from it below stand on a grid with an offset.
-        step, offset = 1 << (bits - b), F.lit(0).cast("long")
-        for c in range(b + 1, bits):
-            offset = offset + F.shiftleft(F.shiftright("i", c).bitwiseAND(F.lit(1)), bits - 1 - c)
+        # Where bit b of i is set, the 2^b slots before that differ from it below stand on a grid with an offset: what
+        # the bits of i above b make of the point, which are the point's lowest.
+        step, offset = 1 << (bits - b), F.col("point").bitwiseAND(F.lit((1 << (bits - 1 - b)) - 1))
         number = F.floor((F.col("hi") - offset + (step - 1)) / step) - F.floor((F.col("lo") - offset + (step - 1)) / step)
         rank = rank + F.when(F.shiftright("i", b).bitwiseAND(F.lit(1)) == 1, number.cast("long")).otherwise(0)
-    return points.join(owned, "point").select("i", "no", "n", rank.alias("rank")).where("rank < n")
+    return owned.select("i", "no", "n", rank.alias("rank")).where("rank < n")
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, most: int = 3, slots_about: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -140,6 +136,7 @@ def copies(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     A source's mix ends inside one document at most. If it takes half of that or more, the document comes whole; else as
     many of those after it, in the source's shuffled order, as the words that are left fill.
     """
+    pieces = staged(pieces, "mix-pieces")
     full = staged(taken(pieces, placed).where("size > 0").select("no", "start", "k", "h", "size", "taken"), "mix-taken")
     last = full.where("taken % size > 0").select(F.col("no").alias("n"), F.col("start").alias("at"), F.col("size").alias("of"), (F.col("taken") % F.col("size")).alias("rest"))
     half, behind = F.col("rest") * 2 >= F.col("of"), F.col("start") - F.col("at") - F.col("of")
