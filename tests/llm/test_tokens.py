@@ -64,6 +64,31 @@ def test_encoder_equals_the_library(library):
         assert [p.tolist() for p in parts] == [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts[i : i + 100]]
 
 
+def test_distinct_pretokens_are_the_pretokens():
+    texts = [*fuzz(400), "", "ß中😀 \u00a0 \u3000\u3000x \x1c\x1d y\x85", "\0\0 \0", "plain words only", "\ud800 half"]
+    for some in (texts, ["plain", "", "words  only"], []):
+        own = token_files.Splitter()
+        words, which, ends = token_files.distinct_pretokens(own, some)
+        want, stops = token_counts.pretokens(own, some)
+        if some:
+            assert [words[i].decode("utf-8", "surrogatepass") for i in which.tolist()] == want and ends.tolist() == stops.tolist()
+        assert len(set(words)) == len(words)
+
+
+def test_encoder_with_odd_white_space(library):
+    own = token_files.Encoder(default_path())
+    texts = ["a\u00a0\u00a0b", "\u3000\u3000", "p\n\u2003q", "r\n\u2003 s", " \x1c\x1d ", "x\n\n\ny", "\x85\x85z", "\r\n\t \u2003", "é\u2028è"]
+    ids, sizes = own.encode(texts, 0)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_texts_are_encoded_together_up_to_so_many_characters(monkeypatch):
+    monkeypatch.setattr(token_files, "TOGETHER", 10)
+    monkeypatch.setattr(token_files, "ROWS", 3)
+    assert list(token_files.cuts([4, 4, 4, 25, 0, 0, 0, 0, 10])) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 9)]
+    assert list(token_files.cuts([])) == []
+
+
 def test_token_files_round_trip(spark, edges, nothing, library):
     more = [(8, "one"), (8, None), (8, "two words"), (7, "")]
     docs = edges.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))

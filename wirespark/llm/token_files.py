@@ -7,7 +7,8 @@ reader given a key skips stripes and row groups (`read_tokens(..., key_value=...
 
 Ids come from the tokenizers library. A pre-token always encodes to the same ids, so a worker asks the library once
 for each distinct pre-token it meets (a table of bounded bytes) and joins the answers. Texts with the string of a
-special token go to the library whole.
+special token go to the library whole. Pre-tokens are cut and made distinct as byte ranges of a batch's UTF-8, in Arrow;
+only a batch's distinct ones become Python objects.
 
 Defined results: a null text is empty (only the end id); null keys sort first; rows with equal keys are ordered by
 their texts, repeated rows are all kept; an empty table gives empty files and an empty result; other columns are ignored.
@@ -25,15 +26,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, staged, text_batches
-from .token_counts import Splitter, pretokens
+from .token_counts import NO_TABLE, Splitter
 from .tokenizer_files import default_path
 
 #: Bytes of the pre-tokens and ids that a worker remembers, about; what a pre-token takes besides its characters and ids.
 MAX_BYTES, EACH = 200 << 20, 160
+#: Characters and rows of the texts that are encoded together, about.
+TOGETHER, ROWS = 1 << 20, 512
+#: New pre-tokens that the library gets in one text.
+LINES = 200
 #: Bytes of the input (as the planner knows them) that go to one key range.
 RANGE_BYTES = 256 << 20
 
 
+def distinct_pretokens(splitter: Splitter, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of texts; the number of each pre-token in turn; which of those are the texts' ends."""
+    joined = "\0".join(texts) + "\0"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    stops = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1
+    codes[stops] = NO_TABLE
+    starts = np.flatnonzero(splitter.begins(codes)[:-1])
+    data = joined.encode("utf-8", "surrogatepass")
+    if len(data) > len(codes):
+        codes[stops] = 0
+        size = 1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
+        offsets = (np.cumsum(size, dtype=np.int64) - size)[starts]
+    else:
+        offsets = starts
+    offsets = pa.py_buffer(np.append(offsets, len(data)).astype(np.int64))
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    _, ends, each = found.dictionary.buffers()
+    at, each = np.frombuffer(ends, np.int64)[: len(found.dictionary) + 1].tolist(), each.to_pybytes()
+    return [each[a:b] for a, b in zip(at, at[1:])], found.indices.to_numpy(), np.searchsorted(starts, stops)
+
+
 class Encoder:
     """Texts to ids. A known pre-token has a number; ids of number k are flat[first[k]:first[k] + length[k]]."""
 
@@ -50,10 +76,10 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.first, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = self.chars = 0
-        self.add("", [0])  # number 0 stands for the end of a text
+        self.add(b"", [0])  # number 0 stands for the end of a text
 
     def room(self, words: int, ids: int) -> int:
         """The first free number, with room for so many more words and ids."""
@@ -64,7 +90,7 @@ class Encoder:
             self.flat = np.resize(self.flat, 2 * (self.used + ids))
         return k
 
-    def add(self, word: str, ids: list[int]) -> None:
+    def add(self, word: bytes, ids: list[int]) -> None:
         k = self.room(1, len(ids))
         self.known[word] = k
         self.chars += len(word)
@@ -72,19 +98,26 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Asks the library: words without white space but for a blank before them in one text, a line each."""
-        plain = [w for w in words if not w.isspace()] if len(self.line_end) == 1 else []
-        for w in set(words).difference(plain):
-            self.add(w, self.ids(w))
-        for i in range(0, len(plain), 200):
-            some = plain[i : i + 200]
-            (got,) = self.tokenizer.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)
+        alone = [w for w in words if b"\n" in w or w.isspace()]
+        plain = [w for w in words if not (b"\n" in w or w.isspace())]
+        # Decoded together; what else is white space (of Unicode) goes alone.
+        lines = b"\n".join(plain).decode("utf-8", "surrogatepass").split("\n") if plain else []
+        other = [k for k, t in enumerate(lines) if len(self.line_end) != 1 or t.isspace()]
+        alone += [plain[k] for k in other]
+        for k in reversed(other):
+            del plain[k], lines[k]
+        for w in alone:
+            self.add(w, self.ids(w.decode("utf-8", "surrogatepass")))
+        for i in range(0, len(plain), LINES):
+            some, own = plain[i : i + LINES], lines[i : i + LINES]
+            (got,) = self.tokenizer.encode_batch_fast(["\n".join(own) + "\n"], add_special_tokens=False)
             ids = np.array(got.ids, np.int32)
             ends = np.flatnonzero(ids == self.line_end[0])
             if len(ends) != len(some):
-                for w in some:
-                    self.add(w, self.ids(w))
+                for w, t in zip(some, own):
+                    self.add(w, self.ids(t))
                 continue
             starts = np.concatenate([[0], ends[:-1] + 1])
             k = self.room(len(some), len(ids))
@@ -97,16 +130,17 @@ class Encoder:
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id; and the length of each text's."""
         whole = {i: np.array([*self.ids(t), end_id], np.int32) for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        words, ends = pretokens(self.splitter, ["" if i in whole else t or "" for i, t in enumerate(texts)])
+        words, which, ends = distinct_pretokens(self.splitter, ["" if i in whole else t or "" for i, t in enumerate(texts)])
         if EACH * len(self.known) + self.chars + 4 * self.used > MAX_BYTES:
             self.clear()
         get = self.known.get
-        numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        numbers[ends] = 0
-        if (new := np.flatnonzero(numbers < 0)).size:
-            self.learn(list({words[i]: 0 for i in new.tolist()}))
+        own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        if (new := np.flatnonzero(own < 0)).size:
+            self.learn([words[i] for i in new.tolist()])
             get = self.known.__getitem__
-            numbers[new] = [get(words[i]) for i in new.tolist()]
+            own[new] = [get(words[i]) for i in new.tolist()]
+        numbers = own[which]
+        numbers[ends] = 0
         length = self.length[numbers].astype(np.int64)
         until = np.cumsum(length)
         ids = self.flat[np.repeat(self.first[numbers] - until + length, length) + np.arange(until[-1] if len(until) else 0)]
@@ -121,6 +155,18 @@ class Encoder:
         return ids, sizes
 
 
+def cuts(sizes: list[int]):
+    """From and to of the texts that are encoded together: up to ROWS, and no more after TOGETHER characters."""
+    i = n = 0
+    for j, size in enumerate(sizes):
+        if j > i and (n + size > TOGETHER or j - i == ROWS):
+            yield i, j
+            i, n = j, 0
+        n += size
+    if sizes:
+        yield i, len(sizes)
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -136,10 +182,10 @@ def encoded(docs: DataFrame, text: str, key: str, path: str, end_id: int) -> Dat
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for b in batches:
             texts = b.column("t").to_pylist()
-            for i in range(0, len(texts), 128):
-                ids, sizes = encoder(path).encode(texts[i : i + 128], end_id)
+            for i, j in cuts([len(t or "") for t in texts]):
+                ids, sizes = encoder(path).encode(texts[i:j], end_id)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([b.column("k").slice(i, 128), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], [key, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column("k").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], [key, "ids"])
 
     return text_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"`{key}` {kind.simpleString()}, ids array<int>")
 
