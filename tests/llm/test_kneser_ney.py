@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,31 @@ def test_counts_equal_brute_force(spark, edges):
     assert {r.gram: r.n for r in C.count_grams(edges, "text").collect()} == want
 
 
+def test_each_window_is_hashed_once_an_order(monkeypatch):
+    (block, of), hashed = next(C.blocks(["abracadabra " * 20, "", prose(4, 50)])), []
+    slow = [np.array([C.keys_of(block.codes[i + C.ORDER - n : i + C.ORDER], n)[0] for i in block.first]) for n in range(1, C.ORDER + 1)]
+    by_place = C.keys_by_place
+    monkeypatch.setattr(C, "keys_by_place", lambda columns: hashed.append(len(columns[0])) or by_place(columns))
+    got = block.keys()
+    assert hashed == [len(block.first)] * C.ORDER
+    assert all((a == b).all() for a, b in zip(got, slow))
+    of_key = {int(k): i for i, k in enumerate(np.unique(np.concatenate(got)))}
+    each = [sum(of_key[int(C.keys_of(C.codes_of(w), n)[0])] for w in (t[e - n : e] for e in range(C.ORDER, len(t) + 1) for n in range(1, C.ORDER + 1)) if (n := len(w))) for t in map(C.padded, ["abracadabra " * 20, "", prose(4, 50)])]
+    assert block.sums(lambda keys: np.array([of_key[int(k)] for k in keys])).tolist() == each and of == [0, 1, 2]
+
+
+def test_distinct_keys_and_keys_of_grams():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 5000):
+        keys = r.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        keys = np.concatenate([keys, keys[: n // 2], np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)])
+        got = C.distinct(keys)
+        assert got.dtype == np.uint64 and got.tolist() == np.unique(keys).tolist()
+    grams = ["a", "中b", "\U0001f600x\0", C.START * 4, "abcde", "é", "vwxyz", C.END]
+    assert C.keys_of_grams(grams).tolist() == [C.keys_of(C.codes_of(g), len(g))[0] for g in grams]
+    assert C.keys_of_grams([]).tolist() == []
+
+
 def test_quantiles_equal_brute_force(spark):
     r = random.Random(3)
     rows = [(lang, r.lognormvariate(1, 1)) for lang in ("en", None, "de") for _ in range(501)]

@@ -56,21 +56,42 @@ def discounts_of(*often: int) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.05), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def keys_of(codes: np.ndarray, n: int) -> np.ndarray:
-    """uint64 keys of the grams of n codes that begin at each place."""
-    h = np.full(len(codes) - n + 1, n, np.uint64)
-    for i in range(n):
-        h ^= codes[i : len(codes) - n + 1 + i]
+def keys_by_place(columns: list[np.ndarray]) -> np.ndarray:
+    """uint64 keys of grams. columns: the codes of their first places, second places, and so on."""
+    h = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        h ^= c
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
+def keys_of(codes: np.ndarray, n: int) -> np.ndarray:
+    """uint64 keys of the grams of n codes that begin at each place."""
+    return keys_by_place([codes[i : len(codes) - n + 1 + i] for i in range(n)])
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys in ascending order; numpy sorts them several times faster than its unique takes."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=~keys[:1]) != 0]
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def keys_of_grams(grams: list[str]) -> np.ndarray:
+    """uint64 keys of grams of any lengths."""
+    size, out = np.fromiter(map(len, grams), np.int64, len(grams)), np.zeros(len(grams), np.uint64)
+    for n in set(size.tolist()):
+        at = np.flatnonzero(size == n)
+        codes = codes_of("".join([grams[i] for i in at.tolist()])).reshape(-1, n)
+        out[at] = keys_by_place([codes[:, i] for i in range(n)])
+    return out
+
+
 def padded(text: str) -> str:
     return START * (ORDER - 1) + text + END
 
@@ -93,23 +114,17 @@ class Block:
         first = np.zeros(int(self.which.max()) + 1, np.int64)
         first[self.which[::-1]] = at[::-1]
         self.first = first
-        self.of = np.repeat(np.arange(len(pieces)), ends - self.starts - ORDER + 1)  # the piece of each window
+        self.windows = self.starts - (ORDER - 1) * np.arange(len(pieces))  # each piece's first; it has one at least
 
     def keys(self) -> list[np.ndarray]:
         """For the distinct windows: keys of the grams of 1 to ORDER characters that end them."""
         columns = [self.codes[self.first + i] for i in range(ORDER)]
-        out = []
-        for n in range(1, ORDER + 1):
-            rows = np.stack(columns[ORDER - n :], axis=1).ravel() if n > 1 else columns[-1]
-            out.append(keys_of(rows, n)[::n])
-        return out
+        return [keys_by_place(columns[ORDER - n :]) for n in range(1, ORDER + 1)]
 
-    def sums(self, n: int, values) -> np.ndarray:
-        """For n pieces: the sum of the values (a function of keys) of all grams that end in them."""
-        total = sum(values(k) for k in self.keys())
-        out = np.zeros(n, np.int64)
-        np.add.at(out, self.of, total[self.which])
-        return out
+    def sums(self, values) -> np.ndarray:
+        """For each piece: the sum of the values (a function of keys) of all grams that end in it."""
+        total = values(np.concatenate(self.keys())).reshape(ORDER, -1).sum(axis=0)
+        return np.add.reduceat(total[self.which], self.windows)
 
 
 def blocks(texts: list[str]):
@@ -198,7 +213,7 @@ def train(trusted: DataFrame, text: str = "text") -> "Model | None":
         every = every.union(lower.select("gram", "v"))
 
     def keyed(grams: pa.Array) -> pa.Array:
-        return pa.array([int(keys_of(codes_of(g), len(g))[0].view(np.int64)) for g in grams.to_pylist()], pa.int64())
+        return pa.array(keys_of_grams(grams.to_pylist()).view(np.int64))
 
     keyed.__annotations__ = {"grams": pa.Array, "return": pa.Array}
     every = every.groupBy("gram").agg(F.sum("v").cast("int").alias("v"))
@@ -237,13 +252,13 @@ class Model:
                     by.setdefault(c, []).append(t)
                 for c, texts in by.items():
                     for block, _ in blocks(texts):
-                        held.setdefault(c, []).append(np.unique(np.concatenate(block.keys())))
+                        held.setdefault(c, []).append(distinct(np.concatenate(block.keys())))
                         if sum(map(len, held[c])) > GATHERED:
-                            held[c] = [np.unique(np.concatenate(held[c]))]
+                            held[c] = [distinct(np.concatenate(held[c]))]
                             if len(held[c][0]) > GATHERED // 2:
                                 yield from handed(c, held.pop(c)[0])
             for c, parts in held.items():
-                yield from handed(c, np.unique(np.concatenate([*parts, edge_keys()])))
+                yield from handed(c, distinct(np.concatenate([*parts, edge_keys()])))
 
         def handed(c, keys):
             for i in range(0, len(keys), 50_000):
@@ -252,12 +267,20 @@ class Model:
 
         def summed(texts: pa.Table, answers: pa.Table) -> pa.Table:
             g = answers.column("g").to_numpy().view(np.uint64)
-            g, first = np.unique(g, return_index=True)
-            v = np.r_[answers.column("v").to_numpy()[first].astype(np.int64), 0]
+            order = np.argsort(g)
+            g = g[order]
+            new = np.diff(g, prepend=~g[:1]) != 0  # what several tasks asked for came several times
+            g, v = g[new], np.r_[answers.column("v").to_numpy()[order][new].astype(np.int64), 0]
 
             def values(keys: np.ndarray) -> np.ndarray:
+                if not len(g):
+                    return np.zeros(len(keys), np.int64)
+                order = np.argsort(keys)  # neighbours are looked up one after the other
+                keys = keys[order]
                 at = np.searchsorted(g, keys)
-                return v[np.where(g[np.minimum(at, len(g) - 1)] == keys, at, len(g))] if len(g) else np.zeros(len(keys), np.int64)
+                out = np.empty(len(keys), np.int64)
+                out[order] = v[np.where(g[np.minimum(at, len(g) - 1)] == keys, at, len(g))]
+                return out
 
             edge = int(values(edge_keys()).sum())
             keys, logs, seen = [], [], set()
@@ -270,7 +293,7 @@ class Model:
                         whole.append(t)
                 total = np.zeros(len(whole), np.int64)
                 for block, of in blocks(whole):
-                    np.add.at(total, of, block.sums(len(of), values))
+                    np.add.at(total, of, block.sums(values))
                 n = np.array([len(t) + 1 for t in whole], np.int64)
                 keys += own
                 logs.append((total + edge + base * n) / (n * float(UNIT)) if len(n) else np.zeros(0))
