@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wirespark.plans import inspect
 from wirespark.sources import text
 from wirespark.storage import new_path
 
@@ -56,6 +57,15 @@ def test_w3c(spark):
     assert [tuple(r) for r in got] == [("u", 3), ("u2", 3), ("v", 1)]
 
 
+def test_w3c_lines_stay_where_they_are_read(spark, monkeypatch):
+    known = spark.createDataFrame([("77", ["crc", "a"]), ("88", ["crc", "a", "b"])], "crc string, names array<string>")
+    rows = lambda n: spark.range(n).select(F.concat_ws(" ", F.lit("77"), "id").alias("value"))
+    ids = lambda got: got.select(F.col("data")["a"]).distinct().count()
+    assert inspect.shuffles(text.parse_w3c(rows(1 << 40), known)) == 0 and ids(text.parse_w3c(rows(1000), known)) == 1000
+    monkeypatch.setattr(text, "BROADCAST_DEFINITIONS", 1)
+    assert inspect.shuffles(text.parse_w3c(rows(1 << 40), known)) == 2 and ids(text.parse_w3c(rows(1000), known)) == 1000
+
+
 def test_ranges_and_literals(spark):
     sizes = lambda *a: [len(p) for p in text.integer_range(spark, *a).rdd.glom().collect()]
     assert sizes(-6, 84, 7) == [13] * 7

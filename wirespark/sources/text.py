@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Definitions of W3C formats up to which they are broadcast to the lines; beyond, both sides are shuffled.
+BROADCAST_DEFINITIONS = 20_000
+
 
 def read_lines(spark: SparkSession, path, max_bytes: int | None = None, recursive: bool = False, **options) -> DataFrame:
     """`value` string: a row for each line, cut to max_bytes bytes. Compression follows the files' suffixes."""
@@ -128,10 +131,14 @@ def w3c_definitions(spark: SparkSession, path) -> DataFrame:
 def parse_w3c(lines: DataFrame, definitions: DataFrame, text: str = "value") -> DataFrame:
     """`data` map: fields by name, chosen by each line's leading crc; lines that fit no definition are left out.
 
-    Definitions are few (one for each version of a log's format) and small, and Spark broadcasts them by their size.
+    Definitions are few (one for each version of a log's format), so lines are looked up where they are read: dealt by
+    crc, all lines of a format would meet in one task. They are counted before, as Spark doesn't know every table's size.
     """
+    definitions = definitions.select("crc", "names")
+    if definitions.limit(BROADCAST_DEFINITIONS + 1).count() <= BROADCAST_DEFINITIONS:
+        definitions = F.broadcast(definitions)
     parts = lines.select(F.split(F.trim(text), r"\s+").alias("parts")).withColumn("crc", F.col("parts")[0])
-    joined = parts.join(definitions.select("crc", "names"), "crc").where(F.size("parts") == F.size("names"))
+    joined = parts.join(definitions, "crc").where(F.size("parts") == F.size("names"))
     rest = lambda c: F.slice(c, 2, F.size(c) - 1)
     return joined.select(F.map_from_arrays(rest(F.col("names")), rest(F.col("parts"))).alias("data"))
 
