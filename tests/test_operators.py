@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +47,66 @@ def test_counts_and_merge(spark, shelf):
     assert search.collect_all(spark.read.parquet(at[2]), shelf, ["+shield"], "doc").count() == 2
 
 
+def brute(texts, q):
+    """Documents that a query finds, by scanning each one's words."""
+    out = []
+    for doc, text in texts:
+        words = text.split()
+        has = lambda clause: any(list(o) == words[i : i + len(o)] for o in clause.options for i in range(len(words)))  # noqa: B023, E731
+        by = {sign: [has(c) for c in search.parse_query(q) if c.sign == sign] for sign in ("+", "-", "")}
+        if not any(by["-"]) and (all(by["+"]) if by["+"] else any(by[""])):
+            out.append(doc)
+    return out
+
+
+def test_search_equals_brute_force(spark):
+    pick = random.Random(7)
+    texts = [(i, pick.choice([" ", "\n\t", "\x0b "]).join(pick.choices("abcdef", k=pick.randint(0, 12)))) for i in range(300)]
+    queries = ["+a", "+a +b -c", "a b", "a -b", '"a b"', '+"a b c" -"c d"', '+("a b" "b a") +f', '"a a"', "-a", "", "+(a zz) b", "zz", '+a +"b zz"']
+    postings = search.index(spark.createDataFrame(texts, "doc long, text string").repartition(3), "text", "doc")
+    got = search.search(postings, queries, "doc").collect()
+    assert len(got) == len(set(got))
+    assert [sorted(r.doc for r in got if r.query_index == q) for q in range(len(queries))] == [brute(texts, x) for x in queries]
+    many = search.search(postings, ["+a " + " ".join(f"-z{i}" for i in range(search.FILTER_TERMS)), "b"], "doc").collect()
+    assert sorted(map(tuple, many)) == [(0, d) for d in brute(texts, "a")] + [(1, d) for d in brute(texts, "b")]
+
+
+def test_terms_are_split_as_spark_splits(spark):
+    odd = " a\x0bb\u00a0c\x1cd\x85e\u2028f\u3000g\r\fé  \U0001f600 "
+    docs = spark.createDataFrame([("x", odd), (None, "h"), ("y", None), ("z", ""), ("z", "h")], "name string, text string").coalesce(1)
+    rows = search.index(docs, "text", "name").collect()
+    want = docs.select(F.explode(F.split("text", r"\s+")).alias("t")).where("t <> ''").distinct().collect()
+    assert sorted(r.term for r in rows if r.term) == sorted(r.t for r in want)
+    assert [r["keys"] for r in rows if r.term is None] == [["x", None, "y", "z", "z"]]
+    assert [(r.docs, r.places) for r in rows if r.term == "h"] == [([1, 4], [0, 0])]
+
+
+def test_segments_hold_every_document_once(monkeypatch):
+    monkeypatch.setattr(search, "SEGMENT_BYTES", 10)
+    monkeypatch.setattr(search, "SEGMENT_DOCS", 4)
+    texts = ["abc", "", None, "x" * 50, "de f", "ghij", "k", "lm", "", "", "", "", "", "é" * 5, "n"]
+    for step in (1, 2, 4, 15):
+        batches = [pa.record_batch({"text": pa.array(texts[i : i + step], pa.string()), "key": pa.array(range(i, min(i + step, 15)))}) for i in range(0, 15, step)]
+        got = [*search.segments(iter(batches))]
+        assert [k for _, keys in got for k in keys.to_pylist()] == [*range(15)]
+        assert [x for t, _ in got for x in t.to_pylist()] == [(x or "").encode() for x in texts]
+        assert all(0 < len(t) <= 4 and (len(t) == 1 or sum(map(len, t.to_pylist())) <= 10) for t, _ in got)
+
+
+def test_index_has_a_row_for_each_term_of_a_segment(spark):
+    # Before, a row for each occurrence: merging two indexes wrote, dealt and sorted all of them twice.
+    docs = spark.range(0, 600, 1, 2).select(F.col("id").alias("doc"), F.repeat(F.lit("a b c d e "), 50).alias("text"))
+    at = [new_path(spark, "test-index") for _ in range(3)]
+    for a, p in zip(at, (docs.where("doc < 300"), docs.where("doc >= 300"))):
+        search.write_index(search.index(p, "text", "doc"), a)
+    search.merge_indexes(spark, at[:2], at[2])
+    merged = spark.read.parquet(at[2])
+    assert merged.count() <= 4 * 6 and search.ranked_terms(merged, 1).first().n == 600 * 50
+    got = search.search(merged, ['"e a b" +c', "d -a"], "doc")
+    assert any("term" in f and "In" in f for f in inspect.pushed_filters(got))
+    assert sorted(map(tuple, got.collect())) == [(0, d) for d in range(600)]
+
+
 def test_relational(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "x string, y int")
     book = spark.createDataFrame([("a", 1), (None, 2), ("a", 1), ("b", 4)], "x string, y int")
