@@ -107,6 +107,14 @@ def test_index_has_a_row_for_each_term_of_a_segment(spark):
     assert sorted(map(tuple, got.collect())) == [(0, d) for d in range(600)]
 
 
+def test_hits_are_collected_without_dealing_occurrences(spark, shelf):
+    # Before, each occurrence was dealt and hashed by its place, then again by document.
+    got = search.collect_all(search.index(shelf, "text", "doc"), shelf, ['"dusty death"', "shield"], "doc")
+    assert inspect.shuffles(search.search(search.index(shelf, "text", "doc"), ["shield"], "doc")) == 2
+    assert "start" not in inspect.text(got) and "Generate" not in inspect.text(got)
+    assert sorted(map(tuple, got.collect())) == [(0, 4, "dusty  death"), (1, 1, "the shield of achilles"), (1, 3, "a shield a shield")]
+
+
 def test_relational(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "x string, y int")
     book = spark.createDataFrame([("a", 1), (None, 2), ("a", 1), ("b", 4)], "x string, y int")
