@@ -115,6 +115,16 @@ def test_hits_are_collected_without_dealing_occurrences(spark, shelf):
     assert sorted(map(tuple, got.collect())) == [(0, 4, "dusty  death"), (1, 1, "the shield of achilles"), (1, 3, "a shield a shield")]
 
 
+def test_counting_hits_deals_segments_and_hits_only(spark):
+    # Before, the occurrences of the queries' terms were dealt, by their places.
+    docs = spark.range(0, 50, 1, 2).select(F.col("id").alias("doc"), F.when(F.col("id") % 5 > 0, F.repeat(F.lit("in the "), 2000)).alias("text"))
+    got = search.count_hits(search.index(docs, "text", "doc"), ['"in the"', '"the the"', "+in -the", "the"], "doc")
+    deals = inspect.text(got).count("Exchange hashpartitioning(")
+    keys = [x for x in ("segment", "query_index") if f"Exchange hashpartitioning({x}#" in inspect.text(got)]
+    assert keys == ["segment", "query_index"] and deals <= 4 and "start" not in inspect.text(got)
+    assert sorted(map(tuple, got.collect())) == [(0, 40), (1, 0), (2, 0), (3, 40)]
+
+
 def test_relational(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "x string, y int")
     book = spark.createDataFrame([("a", 1), (None, 2), ("a", 1), ("b", 4)], "x string, y int")
