@@ -1,8 +1,8 @@
 """Full-text search over postings tables.
 
 `index` inverts whole documents a segment at a time: a row for each term of a segment, with the documents and places
-where it stands, and a row without term for the segment's keys. They are stored as Parquet, sorted by term within hash
-buckets, so that a search reads few row groups. Queries are +required, -excluded and plain (optional) terms, phrases
+where it stands, and a row without term for the segment's keys. They are stored as Parquet, a segment after the other, and
+in a merged index sorted by term within hash buckets, so that a search reads few row groups. Queries are +required, -excluded and plain (optional) terms, phrases
 in quotes and groups in parentheses of alternatives. All queries are answered together: the rows of their terms are
 brought together by segment, and each segment is searched by itself, as no document lies in two.
 """
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,7 +84,7 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.A
 
 
 def invert(texts: pa.Array, keys: pa.Array) -> pa.RecordBatch:
-    """The rows of a segment."""
+    """The rows of a segment, in the order of their terms, the keys first."""
     n = len(texts)
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
@@ -103,14 +104,17 @@ def invert(texts: pa.Array, keys: pa.Array) -> pa.RecordBatch:
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(lengths), pa.py_buffer(data[word])]).dictionary_encode()
     doc = np.searchsorted(ends, starts, "right") - 1
     at = np.arange(len(doc)) - np.searchsorted(doc, np.arange(n))[doc]
-    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    by_term = pc.sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    code = rank[words.indices.to_numpy(zero_copy_only=False)]
     order = np.sort(code << 32 | np.arange(len(code))) & 0xFFFFFFFF
     rows = len(words.dictionary) + 1
     to = np.zeros(rows + 1, np.int32)
     np.cumsum(np.bincount(code, minlength=rows - 1), out=to[2:])
     lists = lambda x: pa.ListArray.from_arrays(pa.array(to), pa.array(x[order].astype(np.int32)))
     own = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(rows + 1), 1) * n, pa.int32()), keys)
-    terms = pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.cast(pa.string())])
+    terms = pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.take(pa.array(by_term)).cast(pa.string())])
     return pa.RecordBatch.from_arrays([pa.array([name.digest()] * rows, pa.binary()), terms, lists(doc), lists(at), own], names=["segment", "term", "docs", "places", "keys"])
 
 
@@ -122,13 +126,16 @@ def index(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str, mode: str = "error") -> None:
-    """Rows dealt by term; a term that is very frequent, as the keys' rows, is spread over files by AQE's rebalance."""
-    postings.hint("rebalance", "term").sortWithinPartitions("term").write.mode(mode).parquet(path)
+    """Segments where they were made, each in the order of its terms, by which a search skips pages of the files."""
+    postings.write.mode(mode).parquet(path)
 
 
 def merge_indexes(spark: SparkSession, paths: list[str], to: str) -> None:
-    """One index of several. Segments stay as they are: only where their rows lie changes."""
-    write_index(spark.read.parquet(*paths), to)
+    """One index of several, its rows dealt by term and sorted, so that a search reads few files and row groups.
+
+    A term that is very frequent, as the keys' rows, is spread over files by AQE's rebalance.
+    """
+    write_index(spark.read.parquet(*paths).hint("rebalance", "term").sortWithinPartitions("term"), to)
 
 
 def found(parsed: list[list[Clause]], rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
