@@ -126,8 +126,11 @@ def index(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str, mode: str = "error") -> None:
-    """Segments where they were made, each in the order of its terms, by which a search skips pages of the files."""
-    postings.write.mode(mode).parquet(path)
+    """Segments where they were made, each in the order of its terms, by which a search skips pages of the files.
+
+    Zstandard, as an index and what it is merged to are on disk at once.
+    """
+    postings.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def merge_indexes(spark: SparkSession, paths: list[str], to: str) -> None:
